@@ -7,8 +7,8 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quillspan.llm import exact_dedup, packing, warc
-from quillspan.llm.shared import read, text_batches
+from quillspan.llm import exact_dedup, langid, mixing, near_dedup, packing, warc
+from quillspan.llm.shared import read
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -21,12 +21,25 @@ def op4_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_dedup.exact_duplicates(read(spark, sf_dir, "documents"))
 
 
+def op5_soft_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return mixing.rates(read(spark, sf_dir, "documents"), read(spark, sf_dir, "labels"))
+
+
 def op6_warc_reader(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = warc.round_trip(read(spark, sf_dir, "pages"))
     return found.select("target_uri", "warc_type", "content_length", F.md5("payload").alias("payload_md5"), F.col("error").isNull().alias("valid"))
 
 
-QUERIES: dict[str, Query] = {f.__name__: f for f in (op2_best_fit_packing, op4_exact_dedup, op6_warc_reader)}
+def op7_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return near_dedup.near_duplicate_groups(read(spark, sf_dir, "documents"))
+
+
+def op8_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = read(spark, sf_dir, "documents")
+    return langid.identify(docs, langid.fit(docs))
+
+
+QUERIES: dict[str, Query] = {f.__name__: f for f in (op2_best_fit_packing, op4_exact_dedup, op5_soft_mixing, op6_warc_reader, op7_near_dedup, op8_language_id)}
 
 ORACLE_SQL: dict[str, str] = {
     "op4_exact_dedup": """

@@ -61,3 +61,31 @@ def known_rows(df: DataFrame, limit: int = BROADCAST_ROWS) -> bool:
 def small(df: DataFrame, limit: int = BROADCAST_ROWS) -> DataFrame:
     """``df`` with a broadcast hint if its row count allows one; otherwise joins shuffle it."""
     return F.broadcast(df) if known_rows(df, limit) else df
+
+
+def identified(docs: DataFrame, column: str = "doc_id") -> tuple[DataFrame, str]:
+    """``docs`` and a column that names each row: ``column`` if it is unique without nulls, else a number written with the rows."""
+    seen = docs.groupBy(column).count().agg(F.max("count").alias("most"), F.count(F.when(F.col(column).isNull(), 1)).alias("nulls")).head()
+    if (seen["most"] or 1) == 1 and not seen["nulls"]:
+        return docs, column
+    name = spare(docs.columns, "row_number")
+    return table(docs.withColumn(name, F.monotonically_increasing_id()), "identified"), name
+
+
+def components(edges: DataFrame) -> DataFrame:
+    """``node, label`` (label: the smallest node of its connected component) from edges ``a, b``, by alternating large and small stars."""
+    now = table(edges.where("a <> b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct(), "edges")
+    before = None
+    while True:
+        state = now.agg(F.count(F.lit(1)).alias("n"), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)")).alias("h")).head()
+        if state == before:
+            break
+        before = state
+        both = now.unionByName(now.select(F.col("b").alias("a"), F.col("a").alias("b")))
+        least = both.groupBy("a").agg(F.min("b").alias("least")).select("a", F.least("a", "least").alias("least"))
+        large = both.join(least, "a").where("b > a").select(F.col("b").alias("a"), F.col("least").alias("b")).where("a <> b").distinct()
+        # small star: of the smaller neighbours, all and the node itself hang on the least
+        down = large.groupBy("a").agg(F.min("b").alias("least"))
+        small_star = large.join(down, "a").select(F.explode(F.array(F.struct("a", F.col("least").alias("b")), F.struct(F.col("b").alias("a"), F.col("least").alias("b")))).alias("e")).select("e.a", "e.b").where("a <> b").distinct()
+        now = table(small_star, "edges")
+    return now.groupBy("a").agg(F.min("b").alias("label")).select(F.col("a").alias("node"), "label").unionByName(now.select(F.col("b").alias("node"), F.col("b").alias("label")).distinct())

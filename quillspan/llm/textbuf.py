@@ -97,7 +97,7 @@ class Words:
             self.prefix = {}
             for p in prefixes:
                 cut = np.where(place < p, terms, np.uint64(0))
-                self.prefix[p] = mix(np.add.reduceat(cut, at) + np.uint64(p) * np.uint64(0xD6E8FEB86659FD93))
+                self.prefix[p] = mix(np.add.reduceat(cut, at) + np.uint64(p * 0xD6E8FEB86659FD93 & (2**64 - 1)))
         self.first = np.searchsorted(self.start, offsets)
 
     def row(self) -> np.ndarray:
