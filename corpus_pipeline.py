@@ -4,21 +4,36 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from quillspan.llm import exact_dedup, packing
+from quillspan.llm import exact_dedup, langid, mixing, near_dedup, packing
 from quillspan.llm.shared import read, table
 
 
+def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that the language network rejects go."""
+    return langid.keep_identified(docs, langid.fit(docs))
+
+
 def exact(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One row of each distinct text stays."""
     return exact_dedup.drop_exact_duplicates(docs)
 
 
+def near(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """One document of each group of near duplicates stays."""
+    return near_dedup.drop_near_duplicates(docs)
+
+
+def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents are taken at rates that meet the domains' target weights."""
+    return mixing.mix(docs, read(spark, sf_dir, "labels"))
+
+
 def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Bin and place of each document or piece."""
     return packing.pack(docs)
 
 
-STAGES = [("exact_dedup", exact), ("packing", pack)]
+STAGES = [("language_id", language), ("exact_dedup", exact), ("near_dedup", near), ("mixing", mix), ("packing", pack)]
 
 #: No SQL: the classifiers, ProbMinHash and packing are not expressible.
 ORACLE_SQL = None
