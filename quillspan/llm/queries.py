@@ -7,16 +7,24 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quillspan.llm import exact_dedup, langid, mixing, near_dedup, packing, warc
+from quillspan.llm import ann, exact_dedup, langid, mixing, near_dedup, packing, pii, suffix_dedup, toxicity, warc
 from quillspan.llm.shared import read
 
 Query = Callable[[SparkSession, str], DataFrame]
 
 
+def op1_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return toxicity.toxicity(read(spark, sf_dir, "documents"), read(spark, sf_dir, "labels"))
+
+
 def op2_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(read(spark, sf_dir, "documents"))
 
 
+def op3_private_spans(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pii.private_spans(read(spark, sf_dir, "documents"))
+
+
 def op4_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_dedup.exact_duplicates(read(spark, sf_dir, "documents"))
 
@@ -39,7 +47,17 @@ def op8_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return langid.identify(docs, langid.fit(docs))
 
 
-QUERIES: dict[str, Query] = {f.__name__: f for f in (op2_best_fit_packing, op4_exact_dedup, op5_soft_mixing, op6_warc_reader, op7_near_dedup, op8_language_id)}
+def op9_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return suffix_dedup.repeated_passages(read(spark, sf_dir, "documents"))
+
+
+def op10_nearest_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ann.nearest(read(spark, sf_dir, "embeddings"))
+
+
+QUERIES: dict[str, Query] = {
+    f.__name__: f for f in (op1_toxicity, op2_best_fit_packing, op3_private_spans, op4_exact_dedup, op5_soft_mixing, op6_warc_reader, op7_near_dedup, op8_language_id, op9_suffix_dedup, op10_nearest_neighbours)
+}
 
 ORACLE_SQL: dict[str, str] = {
     "op4_exact_dedup": """
