@@ -81,15 +81,18 @@ def enforce(df: DataFrame, limits: Limits) -> Diagnostics:
 
 def timed(df: DataFrame, seconds: float | None, act: Callable[[DataFrame], T]) -> T:
     """``act`` on ``df``; its jobs are cancelled by tag when the time is up."""
-    spark, tag = df.sparkSession, f"query-{uuid.uuid4().hex}"
-    over = threading.Event()
+    context, tag = df.sparkSession.sparkContext, f"query-{uuid.uuid4().hex}"
+    over, done = threading.Event(), threading.Event()
 
     def stop() -> None:
         over.set()
-        spark.interruptTag(tag)
+        while not done.wait(0.5):  # a query may still be planning: jobs that start late are cancelled too
+            context.cancelJobsWithTag(tag)
 
     timer = threading.Timer(seconds, stop) if seconds is not None else None
-    spark.addTag(tag)
+    if timer:
+        timer.daemon = True
+    context.addJobTag(tag)
     began = time.monotonic()
     if timer:
         timer.start()
@@ -100,6 +103,7 @@ def timed(df: DataFrame, seconds: float | None, act: Callable[[DataFrame], T]) -
             raise QueryRejected(f"wall time: over {seconds} s after {time.monotonic() - began:.1f} s") from e
         raise
     finally:
+        done.set()
         if timer:
             timer.cancel()
-        spark.removeTag(tag)
+        context.removeJobTag(tag)

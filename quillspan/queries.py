@@ -310,7 +310,7 @@ def _searched(name: str, source: str, sql: str):
 
 _SEL = "SELECT source AS project_name, 'doc-' || doc_id AS run_id"
 _searched("search_terms", 'search(inputs, "idiot the")', f"WITH {_TOKENS} {_SEL} FROM dt WHERE list_contains(tokens, 'idiot')")
-_searched("search_phrase", 'search("\\"the this ouer\\"")', f"WITH {_TOKENS} {_SEL} FROM dt WHERE list_contains(list_transform(range(1, len(tokens)), lambda i: tokens[i] || ' ' || tokens[i + 1]), 'this ouer')")
+_searched("search_phrase", 'search("\\"and attion the thanedble\\"")', f"WITH {_TOKENS} {_SEL} FROM dt WHERE list_contains(list_transform(range(1, len(tokens)), lambda i: tokens[i] || ' ' || tokens[i + 1]), 'attion thanedble')")
 _searched("search_not", 'and(does_not_contain(inputs, "idiot"), eq(metadata_value, "en"))', f"WITH {_TOKENS} {_SEL} FROM documents d WHERE lang = 'en' AND NOT EXISTS (SELECT 1 FROM dt WHERE dt.doc_id = d.doc_id AND list_contains(tokens, 'idiot'))")
 _searched("search_exact_value", 'eq(attributes_json, "fr")', f"{_SEL} FROM documents WHERE lang = 'fr'")
 _searched("json_key", 'json_key("metadata.lan*")', f"{_SEL} FROM documents WHERE lang IS NOT NULL")
