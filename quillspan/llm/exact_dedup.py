@@ -135,10 +135,11 @@ def exact_duplicates(docs: DataFrame) -> DataFrame:
 
 def drop_exact_duplicates(docs: DataFrame) -> DataFrame:
     """``docs`` with one row of each distinct text, all columns kept; only texts with a repeated fingerprint are moved and compared."""
-    repeated = shared.small(_repeated(docs).withColumnRenamed("fp", "repeated_fp"))
     keyed, fp = _keyed(docs)
+    other = shared.spare([*docs.columns, fp], "repeated_fp")
+    repeated = shared.small(_repeated(docs).withColumnRenamed("fp", other))
     rank = shared.spare([*docs.columns, fp], "rank")
-    lone = keyed.join(repeated, F.col(fp) == F.col("repeated_fp"), "left_anti")
+    lone = keyed.join(repeated, F.col(fp) == F.col(other), "left_anti")
     w = Window.partitionBy(fp, "text").orderBy(F.col("doc_id").asc_nulls_last())
-    first = keyed.join(repeated, F.col(fp) == F.col("repeated_fp"), "left_semi").withColumn(rank, F.row_number().over(w)).where(F.col(rank) == 1)
+    first = keyed.join(repeated, F.col(fp) == F.col(other), "left_semi").withColumn(rank, F.row_number().over(w)).where(F.col(rank) == 1)
     return lone.select(*docs.columns).unionByName(first.select(*docs.columns))

@@ -42,7 +42,7 @@ ROUNDS = 60
 CANDIDATE = re.compile(
     r"""[\w.+%-]{1,64}@(?:[\w-]{1,63}\.)+[A-Za-z]{2,24}"""
     r"""|\b[A-Z]{2}\d{2}(?:[ ]?[A-Z0-9]{4}){3,7}(?:[ ]?[A-Z0-9]{1,3})?\b"""
-    r"""|(?:\+\d{1,3}[ .-]?)?(?:\(\d{2,4}\)|\d{2,4})[ .-]\d{3,4}[ .-]\d{3,4}(?![\d.])"""
+    r"""|(?:\+\d{1,3}[ .-]?)?(?:\(\d{2,4}\)|\d{2,4})[ .-]\d{3,4}[ .-]\d{3,4}(?!\d|\.\d)"""
     r"""|\d{4}(?:[ -]\d{4}){3}(?!\d)"""
     r"""|\d{1,3}(?:\.\d{1,3}){3}(?![\d.]*\d)"""
     r"""|[A-Za-z0-9_/+=.-]*\d[A-Za-z0-9_/+=.-]*"""
