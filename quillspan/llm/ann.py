@@ -161,7 +161,6 @@ def _blocks(vectors: DataFrame, rows: int, quantiser: Quantiser | None = None) -
 def nearest(table: DataFrame, id_column: str = "vec_id", vector_column: str = "embedding", k: int = NEIGHBOURS, rerank: int = RERANK) -> DataFrame:
     """``vec_id, rank, neighbour_id, distance`` of every row's ``k`` nearest others."""
     spark = table.sparkSession
-    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "2048")
     kind = dict(table.dtypes)[id_column]
     v = F.col(vector_column)
     whole = table.select(F.monotonically_increasing_id().alias("row"), F.col(id_column).alias("vec_id"), v.cast("array<float>").alias("vector"))
@@ -191,8 +190,12 @@ def nearest(table: DataFrame, id_column: str = "vec_id", vector_column: str = "e
 
     # A pair of blocks is megabytes of work for seconds: pairs are dealt out, whatever the blocks' files.
     pairs = base.crossJoin(queries).repartition(max(1, min(8 * shared.partitions(spark), parts(BASE_ROWS) * parts(QUERY_ROWS)))) if count > BASE_ROWS else base.crossJoin(queries)
-    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "2")
-    found = shared.table(pairs.mapInArrow(run, "row long, other long, far double"), "found")
+    before = spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch")
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "2")  # a record is a pair of blocks
+    try:
+        found = shared.table(pairs.mapInArrow(run, "row long, other long, far double"), "found")
+    finally:
+        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", before)
     best = found.withColumn("rank", F.row_number().over(Window.partitionBy("row").orderBy("far", "other"))).where(F.col("rank") <= k)
     names = fit.select("row", "vec_id")
     others = names.select(F.col("row").alias("other"), F.col("vec_id").alias("neighbour_id"))
