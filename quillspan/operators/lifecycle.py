@@ -47,3 +47,9 @@ def compactable(segments: DataFrame, least: int = 2) -> DataFrame:
 def orphans(stored: DataFrame, referenced: DataFrame) -> DataFrame:
     """Stored paths that no manifest refers to."""
     return stored.join(referenced.select("path"), "path", "left_anti")
+
+
+def removable(segments: DataFrame, now: int, grace: int, referenced: DataFrame | None = None) -> DataFrame:
+    """Compacted segments (``path, compacted_at_unix_nano``) past their grace period, less those still referred to. Dry by nature: what is removed is the caller's act."""
+    old = segments.where(F.col("compacted_at_unix_nano").isNotNull() & (F.col("compacted_at_unix_nano") <= now - grace))
+    return old if referenced is None else orphans(old, referenced)

@@ -146,6 +146,14 @@ def trace_page(thread_traces: DataFrame, limit: int | None = None, cursor: str |
     return out.orderBy("start_time_unix_nano", "trace_id").limit(page_size(limit))
 
 
+def selected(rows: DataFrame, selects: Sequence[str] = ()) -> DataFrame:
+    """The fields asked for, in any case; none asked for is all. A field that isn't there is refused."""
+    known = {c.lower(): c for c in rows.columns}
+    if bad := [s for s in selects if s.lower() not in known]:
+        raise ValueError(f"unknown field: {', '.join(bad)}")
+    return rows.select(*dict.fromkeys(known[s.lower()] for s in selects)) if selects else rows
+
+
 def thread_page(threads: DataFrame, limit: int | None = None, cursor: str | None = None, start_min: int | None = None, start_max: int | None = None) -> DataFrame:
     """Threads, those last active first, after a ``thread:start:id`` cursor; the window has to overlap the thread."""
     out = threads

@@ -386,6 +386,130 @@ def segment_inventory(spark: SparkSession, sf_dir: str) -> DataFrame:
     return e.agg(F.count(F.lit(1)).alias("events"), F.count_distinct(F.concat(*KEY)).alias("runs"), F.min(scalars.bucket(F.col("start_time_unix_nano"))).alias("first_bucket"))
 
 
+# Sources, extraction, lookups ---------------------------------------------------------
+
+
+@query("""SELECT printf('%032x', user_id + 1) AS trace_id, printf('%016x', event_id + 1) AS span_id, CASE WHEN event_type = 'error' OR event_type <> 'view' THEN 'end' ELSE 'start' END AS event_type,
+  CASE event_id % 3 WHEN 0 THEN 'llm' WHEN 1 THEN 'tool' ELSE 'span' END AS run_type, CASE event_type WHEN 'error' THEN 2 ELSE 0 END AS status_code, user_id % 5 AS tenant, value AS score, event_id = 0 AS rejected FROM events""")
+def otlp_flatten(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Events dressed as exports, and flattened again."""
+    from quillspan.sources import otlp
+
+    text_value = "cast(named_struct('stringValue', {s}, 'boolValue', NULL, 'intValue', {i}, 'doubleValue', {d}, 'bytesValue', NULL, 'arrayValue', NULL, 'kvlistValue', NULL) AS {t})"
+    value = lambda s="NULL", i="NULL", d="NULL": text_value.format(s=s, i=i, d=d, t=otlp._VALUE)
+    kind = "CASE event_id % 3 WHEN 0 THEN 'chat' WHEN 1 THEN 'execute_tool' ELSE 'other' END"
+    spans = f"""array(named_struct('traceId', unhex(lpad(hex(user_id + 1), 32, '0')), 'spanId', CASE WHEN event_id = 0 THEN unhex('00') ELSE unhex(lpad(hex(event_id + 1), 16, '0')) END, 'parentSpanId', cast(NULL AS binary), 'name', 'step',
+      'startTimeUnixNano', event_id, 'endTimeUnixNano', CASE WHEN event_type = 'view' OR event_type = 'error' THEN 0L ELSE event_id + 5 END,
+      'attributes', array(named_struct('key', 'gen_ai.operation.name', 'value', {value(s=kind)}), named_struct('key', 'score', 'value', {value(d="value")})), 'status', named_struct('code', CASE WHEN event_type = 'error' THEN 2 ELSE 0 END)))"""
+    resource = f"named_struct('attributes', array(named_struct('key', 'tenant', 'value', {value(i='user_id % 5')})))"
+    exports = fixtures.table(spark, sf_dir, "events").selectExpr("'p' AS project_name", "event_id", f"array(named_struct('resource', {resource}, 'scopeSpans', array(named_struct('spans', {spans})))) AS resourceSpans")
+    flat = otlp.flatten(exports.drop("event_id"))
+    return flat.select("trace_id", F.when(F.col("rejected"), F.lpad(F.lit("1"), 16, "0")).otherwise(F.col("span_id")).alias("span_id"), "event_type", "run_type", "status_code", F.get_json_object("attributes_json", "$['resource.tenant']").cast("long").alias("tenant"), F.get_json_object("attributes_json", "$.score").cast("double").alias("score"), "rejected")
+
+
+@query("""SELECT 'c' || conv_id AS trace_id, turn AS row_index, CASE WHEN role = 'assistant' THEN 'end' WHEN row_number() OVER w > 1 THEN 'update' ELSE 'start' END AS event_type,
+  CASE WHEN bool_or(role = 'assistant') OVER w THEN 1 ELSE 0 END AS status_code, coalesce(max(CASE WHEN role = 'assistant' THEN turn END) OVER w, 0) AS end_time FROM conversations WINDOW w AS (PARTITION BY conv_id ORDER BY turn)""")
+def patches_folded(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from quillspan.sources import writes
+
+    empty = ", ".join(f"cast(NULL AS string) AS {c}" for c in ("parent_run_id", "parent_span_id", "extra", "events", "tags", "error"))
+    patches = fixtures.table(spark, sf_dir, "conversations").selectExpr(
+        "'chat' AS project_name", "concat('c', conv_id) AS trace_id", "'s' AS span_id", "'' AS run_id", "'conversation' AS name", "'chain' AS run_type", "conv_id AS start_time_unix_nano",
+        "CASE WHEN role = 'assistant' THEN turn END AS end_time_unix_nano", "CASE WHEN role = 'user' THEN to_json(named_struct('q', text)) END AS inputs", "CASE WHEN role = 'assistant' THEN to_json(named_struct('a', text)) END AS outputs", "turn AS sequence", *empty.split(", "),
+    )
+    return writes.fold(patches).select("trace_id", "row_index", "event_type", "status_code", F.col("end_time_unix_nano").alias("end_time"))
+
+
+@query("""SELECT event_id, event_id % 50 AS prompt_tokens, event_id % 7 AS completion_tokens, event_id % 50 + event_id % 7 AS total_tokens, CASE WHEN event_id % 4 = 0 THEN NULL ELSE event_id % 9 / 4.0 END AS total_cost,
+  'gpt-' || (user_id % 3) AS model_name, 'openai' AS provider_name, array_to_string(list_sort(list_distinct([event_type, 'x'])), ',') AS tags, 't' || (user_id % 10) AS thread_id, 'ask ' || event_id AS inputs_preview FROM events""")
+def events_extracted(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Payloads made from the event table, and every measure read back from them."""
+    from quillspan.functions import extract
+
+    body = """concat('{"usage":{"input_tokens":', event_id % 50, ',"output_tokens":"', event_id % 7, '"},"total_cost":', CASE WHEN event_id % 4 = 0 THEN '-1' ELSE cast(event_id % 9 / 4.0D AS string) END, ',"model":" GPT-', user_id % 3,
+      ' ","gen_ai.system":"Open-AI","tags":["x","', event_type, '"],"metadata":{"thread_id":"t', user_id % 10, '"},"langsmith.inputs":{"prompt":"ask ', event_id, '"}}') AS attributes_json"""
+    events = fixtures.run_events(spark, sf_dir).select("row_index", "start_time_unix_nano")
+    payload = fixtures.table(spark, sf_dir, "events").selectExpr("event_id AS row_index", body)
+    got = extract.extracted(events.join(payload, "row_index"))
+    return got.select(F.col("row_index").alias("event_id"), "prompt_tokens", "completion_tokens", "total_tokens", "total_cost", "model_name", "provider_name", F.array_join("tags", ",").alias("tags"), "thread_id", "inputs_preview")
+
+
+@query(f"""WITH {_EH}, h AS (SELECT *, sha1(unhex('6ba7b8119dad11d180b400c04fd430c8') || encode('quillspan:run:' || project_name || ':' || trace_id || ':' || span_id)) AS h FROM hd)
+  SELECT trace_id, span_id, h[1:8] || '-' || h[9:12] || '-5' || h[14:16] || '-' || (['8','9','a','b'])[CAST('0x' || h[17] AS INT) % 4 + 1] || h[18:20] || '-' || h[21:32] AS generated_run_id FROM h""")
+def run_ids_generated(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return event_heads(spark, sf_dir).select("trace_id", "span_id", "generated_run_id")
+
+
+@query("SELECT DISTINCT source AS project_name FROM documents ORDER BY 1 LIMIT 100")
+def project_list(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return doc_heads(spark, sf_dir).select("project_name").distinct().orderBy("project_name").limit(100)
+
+
+@query("SELECT 'doc-' || doc_id AS run_id, CASE doc_id WHEN 9 THEN 0 WHEN 3 THEN 1 ELSE 2 END AS asked FROM documents WHERE doc_id IN (9, 3, 7)")
+def runs_by_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return runs.load_runs(doc_heads(spark, sf_dir), ["doc-9", "doc-3", "doc-7"]).select("run_id", "asked")
+
+
+@query(f"WITH {_EH} SELECT h.trace_id, h.span_id, (SELECT count(*) FROM hd c WHERE c.project_name = h.project_name AND c.trace_id = h.trace_id AND c.parent_span_id = h.span_id) AS children FROM hd h")
+def run_children(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return runs.children(event_heads(spark, sf_dir)).select("trace_id", "span_id", F.size("child_run_ids").cast("long").alias("children"))
+
+
+@query(f"WITH {_EH} SELECT trace_id, span_id, status, lpad(CAST(start AS VARCHAR), 20, '0') || '.' || span_id AS dotted_order, strftime(make_timestamp(start // 1000), '%Y-%m-%dT%H:%M:%S.%f') || lpad(CAST(start % 1000 AS VARCHAR), 3, '0') || 'Z' AS start_time, stop = 0 AS running FROM hd")
+def runs_response(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return runs.response(event_heads(spark, sf_dir)).select("trace_id", "span_id", "status", "dotted_order", "start_time", F.col("end_time").isNull().alias("running"))
+
+
+@query("""WITH f AS (SELECT lang, quality AS s FROM documents LEFT JOIN labels USING (doc_id)) SELECT 'lang:' || lang AS tag, count(*) AS count, count(s) AS scores, round(avg(s), 6) AS score_avg FROM f GROUP BY ALL""")
+def agg_feedback_attached(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Scores beside the runs' own metrics; runs aren't counted again."""
+    rows = aggregates.aggregate(doc_heads(spark, sf_dir), ("tag",), feedback=fixtures.feedback_rows(spark, sf_dir), feedback_keys=["quality"])
+    return rows.select("tag", "count", F.coalesce(F.col("feedback")["quality"]["feedback_score_count"], F.lit(0)).alias("scores"), F.round(F.col("feedback")["quality"]["feedback_score_avg"], 6).alias("score_avg"))
+
+
+@query("SELECT 0 AS differences")
+def rollup_equals_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Rows in which a rollup and a scan of the heads disagree on the fields that both have."""
+    h = metric_heads(spark, sf_dir)
+    q = runs.RunQuery(_FLAGS, group_by=("project", "time_bucket", "model"))
+    shared = ["project_name", "bucket", "model_name", "count", "error_count", "latency_p99"]
+    rolled = runs.aggregate_runs(h, q, rollup=rollups.runs(h))[0].selectExpr("project_name", "cast(bucket_start_unix_nano AS string) AS bucket", "group_value AS model_name", "count", "error_count", "cast(latency_p99 AS double) AS latency_p99")
+    scanned = runs.aggregate_runs(h, q)[0].selectExpr("project_name", "time_bucket_start_unix_nano AS bucket", "model_name", "count", "error_count", "latency_nanos_p99 AS latency_p99")
+    both = rolled.select(*shared, F.lit(1).alias("side")).unionByName(scanned.select(*shared, F.lit(-1).alias("side")))
+    return both.groupBy(*shared).agg(F.sum("side").alias("side")).where("side <> 0").agg(F.count(F.lit(1)).cast("int").alias("differences"))
+
+
+@query("SELECT 'inputs.prompt' AS path, count(text) AS runs FROM documents UNION ALL SELECT 'metadata.lang', count(lang) FROM documents UNION ALL SELECT 'metadata.source', count(source) FROM documents UNION ALL SELECT unnest(['run.name', 'run.run_type', 'run.status']), count(*) FROM documents")
+def json_leaves(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return search.leaves(doc_heads(spark, sf_dir)).groupBy("path").agg(F.count("value").alias("runs"))
+
+
+@query(f"WITH {_TT} SELECT thread_id, trace_id FROM tt WHERE thread_id = 'thread-7' AND (start, trace_id) > (25202000000000, 'c7-0') ORDER BY start, trace_id LIMIT 20")
+def thread_traces_page(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = threads.traces(_chat(spark, sf_dir)).where("thread_id = 'thread-7'")
+    return runs.selected(runs.trace_page(rows, cursor="trace:25202000000000:c7-0"), ["THREAD_ID", "trace_id"])
+
+
+@query(f"WITH {_CH} SELECT trace_id, span_id, CASE WHEN role = 'assistant' THEN 'assistant' ELSE 'user' END AS role FROM ch WHERE thread_id = 'thread-3' AND coalesce(inp, outp) IS NOT NULL ORDER BY start, trace_id, span_id LIMIT 100")
+def messages_page(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return threads.message_page(threads.messages(_chat(spark, sf_dir)).where("thread_id = 'thread-3'")).select("trace_id", "span_id", "role")
+
+
+@query("SELECT 'fb-' || doc_id AS id, CAST(toxic AS DOUBLE) AS score_number, doc_id AS created_at_unix_nano FROM labels")
+def feedback_upserted(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Each label written as a score, then replaced by another: the last version, created when the first was."""
+    labels = fixtures.table(spark, sf_dir, "labels")
+    version = lambda score, created, modified: labels.selectExpr("concat('fb-', doc_id) AS id", f"cast({score} AS string) AS score", "cast(NULL AS string) AS value", f"{created} AS created_at_unix_nano", f"{modified} AS modified_at_unix_nano")
+    log = version("quality", "doc_id", "doc_id").unionByName(version("concat(chr(34), toxic, chr(34))", "doc_id + 10", "doc_id + 10"))
+    return feedback.scored(feedback.current(log)).select("id", "score_number", "created_at_unix_nano")
+
+
+@query(f"WITH {_EV}, s AS (SELECT project_name, start - start % {HOUR} AS time_bucket, 'f' || (row_index % 5) AS path FROM ev) SELECT project_name, time_bucket, count(DISTINCT path) AS files FROM s GROUP BY ALL HAVING count(DISTINCT path) > 1")
+def compactable_segments(spark: SparkSession, sf_dir: str) -> DataFrame:
+    e = fixtures.run_events(spark, sf_dir)
+    return lifecycle.compactable(e.select("project_name", scalars.bucket(F.col("start_time_unix_nano")).alias("time_bucket"), F.concat(F.lit("f"), F.pmod("row_index", F.lit(5))).alias("path")))
+
+
 def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Latest heads, filtered by an expression, by project, hour and run type with exact percentiles."""
     q = runs.RunQuery(_PROJECTS, filter='or(eq(run_type, "llm"), gt(latency, 0))', group_by=("project", "time_bucket", "run_type"))

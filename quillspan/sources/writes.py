@@ -15,8 +15,8 @@ _PARTS = ("inputs", "outputs", "extra", "events", "tags", "error")
 def fold(patches: DataFrame) -> DataFrame:
     """An event for each patch with everything said so far: the last value given for each field wins.
 
-    The event is an end once an end time or an error is given, an update if the
-    run was there, otherwise a start. A run with an error has status 2, one
+    The event is an end if its patch gives an end time or an error, an update if
+    the run was there, otherwise a start. A run with an error has status 2, one
     without an end 0, others 1.
     """
     w = Window.partitionBy(*RUN_KEY).orderBy("sequence").rowsBetween(Window.unboundedPreceding, 0)
