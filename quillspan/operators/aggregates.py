@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from quillspan.functions import scalars
@@ -62,6 +62,20 @@ def scored(runs: DataFrame, feedback: DataFrame, keys: Sequence[str] | None = No
     return both.join(marks, "_id").where(F.col("_project").isNull() | (F.col("_project") == F.col("project_name"))).drop("_id", "_project")
 
 
+def sorted_percentiles(rows: DataFrame, keys: Sequence[str], columns: Sequence[str], percentiles: Sequence[int] = (50, 95, 99)) -> DataFrame:
+    """``keys`` and nearest-rank percentiles of ``columns``, for groups of any size.
+
+    Values are counted before they are sorted, and running counts find the ranks:
+    a group's values are never held together, and the sort spills.
+    """
+    each = F.explode(F.array(*[F.struct(F.lit(c).alias("m"), finite(F.col(c)).alias("v")) for c in columns])).alias("x")
+    counted = rows.select(*keys, each).where("x.v IS NOT NULL").groupBy(*keys, F.col("x.m").alias("_m"), F.col("x.v").alias("_v")).agg(F.count(F.lit(1)).alias("_n"))
+    group = Window.partitionBy(*keys, "_m")
+    ranked = counted.withColumn("_upto", F.sum("_n").over(group.orderBy("_v"))).withColumn("_all", F.sum("_n").over(group))
+    at = {p: F.floor(((F.col("_all") - 1) * p + 99) / 100) for p in percentiles}
+    return ranked.groupBy(*keys).agg(*[F.min(F.when((F.col("_m") == c) & (F.col("_upto") > at[p]), F.col("_v"))).alias(f"{c}_p{p}") for c in columns for p in percentiles])
+
+
 def aggregate(runs: DataFrame, groups: Sequence[str] = (), bucket: int | None = HOUR, feedback: DataFrame | None = None, feedback_keys: Sequence[str] | None = None) -> DataFrame:
     """One row a group; without groups one row, or none without runs.
 
@@ -76,14 +90,28 @@ def aggregate(runs: DataFrame, groups: Sequence[str] = (), bucket: int | None =
     grouped, keys = group_columns(runs, groups, bucket)
     columns = [F.col(f"_{k}").alias(k) for k in keys] + ([F.col("feedback_key")] if "feedback_key" in groups else [])
     names = keys + (["feedback_key"] if "feedback_key" in groups else [])
+    # An hour's values fit an array; groups without a time bound are of any size, so their ranks come from a sort.
+    within = (50, 95, 99) if "time_bucket" in groups else ()
     measures = [F.count(F.lit(1)).alias("count"), F.count_if(F.col("status") == "error").alias("error_count")]
     for c in RANKED:
-        measures += numeric_stats(c, (50, 95, 99))
+        measures += numeric_stats(c, within)
     for c in VALUES:
         measures += numeric_stats(c)
     if "feedback_key" in groups:
-        measures += [*numeric_stats("feedback_score", (50, 95, 99)), *bin_counts(F.col("feedback_score"))]
+        measures += [*numeric_stats("feedback_score", within), *bin_counts(F.col("feedback_score"))]
     out = grouped.groupBy(*columns).agg(*measures).where("count > 0")
+    if not within:
+        ranked = [*RANKED, *(["feedback_score"] if "feedback_key" in groups else [])]
+        keyed = grouped.select(*columns, *[c for c in ranked if c not in names])
+        ranks = sorted_percentiles(keyed, names, ranked)
+        if names:
+            ranks = ranks.withColumnsRenamed({n: f"_r_{n}" for n in names})
+            same = F.lit(True)
+            for n in names:
+                same = same & F.col(n).eqNullSafe(F.col(f"_r_{n}"))
+            out = out.join(ranks, same, "left").drop(*[f"_r_{n}" for n in names])
+        else:
+            out = out.crossJoin(ranks)
     out = out.withColumn("error_rate", F.col("error_count") / F.col("count"))
     if feedback is not None and feedback_keys and "feedback_key" not in groups:
         scores, _ = group_columns(scored(runs, feedback, feedback_keys), groups, bucket)
