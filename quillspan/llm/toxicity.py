@@ -192,7 +192,8 @@ class Restorer:
         self.seen: dict[str, tuple[str, ...]] = {}
         self.squeezed = {_REPEATED.sub(r"\1", w): w for w in sorted(lexicon)}
         words = sorted(self.squeezed)
-        self.joined = re.compile(rf"(?<![^\W_]){_pattern(words, f'{_GLUE}*', False)}(?![^\W_])", re.I) if words else None
+        self.joined = re.compile(rf"(?<![^\W_]){_pattern(words, f'{_GLUE}{{0,3}}', False)}(?![^\W_])", re.I) if words else None
+        self.lattice = Lattice(words)
         self.apart = re.compile(rf"(?<!\S){_pattern(words, _GAP, True)}", re.I) if words else None
 
     def found(self, stretch: str) -> tuple[str, ...]:
@@ -206,9 +207,16 @@ class Restorer:
         if got is None:
             if len(self.seen) >= self.kept:
                 self.seen.clear()
-            got = self.seen[token] = tuple(w for m in self.joined.finditer(token) for w in self.found(m.group()))
+            got = self.seen[token] = tuple(w for piece in pieces(token) for stretch in self.stretches(piece) for w in self.found(stretch))
         return got
 
+    def stretches(self, piece: str) -> list[str]:
+        """Where a lexicon word may stand. The pattern is quick on common tokens; on long ones and those full of marks it might
+        try too many readings, so there the lattice is walked, which takes time linear in the piece."""
+        if len(piece) <= 40 and sum(not c.isalpha() for c in piece) <= 8:
+            return [m.group() for m in self.joined.finditer(piece)]
+        return self.lattice.stretches(piece)
+
     def text(self, text: str) -> Counter:
         """Lexicon words of a whole text with their counts."""
         out: Counter = Counter()
@@ -218,8 +226,9 @@ class Restorer:
             for w in self.token(token):
                 out[w] += n
         for m in _SPACED.finditer(text):
-            if self.apart.search(m.group()):
-                out.update(self.found(m.group()))
+            stretch = _SAME_APART.sub(r"\1 \1 \1", m.group())
+            if self.apart.search(stretch):
+                out.update(self.found(stretch))
         return out
 
     def score(self, counts: Counter) -> float:
@@ -257,6 +266,74 @@ def _pattern(words: list[str], between: str, apart: bool) -> str:
     return "(?:" + "|".join(out) + ")"
 
 
+class Lattice:
+    """All lexicon words as a tree of letters, walked over a text with every reading at once."""
+
+    def __init__(self, words: list[str]):
+        self.children: list[dict[str, int]] = [{}]
+        self.letter, self.ends = [""], [False]
+        for word in words:
+            node = 0
+            for c in word:
+                if c not in self.children[node]:
+                    self.children[node][c] = len(self.children)
+                    self.children.append({})
+                    self.letter.append(c)
+                    self.ends.append(False)
+                node = self.children[node][c]
+            self.ends[node] = True
+
+    def stretches(self, text: str) -> list[str]:
+        low, n = text.lower(), len(text)
+        if len(low) != n:
+            low = text
+        glue = re.compile(_GLUE)
+        at: dict[int, dict[tuple[int, int], int]] = {}
+        found: dict[int, int] = {}
+
+        def reach(i: int, node: int, gap: int, start: int) -> None:
+            states = at.setdefault(i, {})
+            states[node, gap] = min(start, states.get((node, gap), start))
+            if self.ends[node] and not gap and (i == n or not text[i].isalnum()):
+                found[start] = max(i, found.get(start, 0))
+
+        for i in range(n):
+            active = at.pop(i, {})
+            if i == 0 or not text[i - 1].isalnum():
+                active.setdefault((0, 0), i)
+            if not active:
+                continue
+            c = low[i]
+            readings = [(1, x) for x in {c.translate(_FOLD), *LOOKALIKES.get(c, "")}] + [(k, PAIRS[low[i : i + k]]) for k in (2, 3, 4) if low[i : i + k] in PAIRS and i + k <= n]
+            for (node, gap), start in active.items():
+                for width, x in readings:
+                    if (child := self.children[node].get(x)) is not None:
+                        reach(i + width, child, 0, start)
+                    if node and self.letter[node] == x:
+                        reach(i + width, node, 0, start)
+                if node and gap < 3 and glue.match(c):
+                    reach(i + 1, node, gap + 1, start)
+        out, last = [], 0
+        for start, end in sorted(found.items()):
+            if start >= last:
+                out.append(text[start:end])
+                last = end
+        return out
+
+
+_SAME = re.compile(r"(.)\1{3,}")
+_SAME_APART = re.compile(r"(\S)(?:[^\S\n]{1,3}\1){3,}")
+_MARKS = re.compile(r"([\W_]{3})[\W_]+([\W_]{3})")
+
+
+def pieces(token: str) -> list[str]:
+    """A token as the patterns see it: a character more than three times in a row says no more than three times, and over
+    six marks in a row part words; pieces without a letter or digit say nothing."""
+    if len(token) < 3:
+        return []
+    return [p for p in _MARKS.sub(r"\1 \2", _SAME.sub(r"\1\1\1", token)).split(" ") if any(c.isalnum() for c in p)]
+
+
 def families(texts: list[str], hashes: int = 8) -> list[int]:
     """A number for each text, equal for near copies: those that share a min-hash of their runs of three words."""
     parent = list(range(len(texts)))

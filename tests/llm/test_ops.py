@@ -2,6 +2,7 @@
 
 import math
 import struct
+import time
 from collections import Counter, defaultdict
 
 import numpy as np
@@ -88,6 +89,20 @@ def test_toxicity_learns_from_labels_and_counts_copies_once(spark):
     assert none.count() == 0
 
 
+def test_toxicity_of_awkward_texts(spark):
+    d = awkward(spark)
+    got = toxicity.toxicity(d, spark.createDataFrame([(1, 1, 1), (5, 1, 0), (None, 1, 1)], LABELS)).collect()
+    assert len(got) == d.count() and not any(r["toxic"] or r["score"] for r in got)
+    assert toxicity.toxicity(d.limit(0), spark.createDataFrame([], LABELS)).count() == 0
+    r = toxicity.Restorer(np.zeros(toxicity.SYMBOLS**4, np.float32), dict.fromkeys(("idiot", "aliio", "scum"), 0.99))
+    for disguised in ("1d10t", "(sc*m)", "i.d.i.o.t", "al11o", "s()um", "xx", "ìdiöt!", "the"):
+        assert r.lattice.stretches(disguised) == [m.group() for m in r.joined.finditer(disguised)], disguised
+    began = time.monotonic()
+    for long in ("*" * 50_000, "*#" * 25_000, "a" * 200_000, "a " * 50_000, "i1" * 20_000, "*-i-" * 10_000, "1*" * 25_000, "al" * 50_000):
+        r.text(long)
+    assert time.monotonic() - began < 30
+
+
 # 2 Packing
 
 
@@ -184,6 +199,16 @@ def test_private_spans(spark):
     assert pii.private_spans(docs(spark, "nothing here", None, "")).count() == 0
 
 
+def test_private_spans_of_awkward_tables(spark):
+    d = awkward(spark).unionByName(awkward(spark).limit(1).withColumn("text", F.lit("write to ab.12@mail3.example.com " * 3000)))
+    assert pii.private_spans(d).where("kind = 'email'").count() == 3000
+    assert pii.private_spans(d.limit(0)).count() == 0
+    began = time.monotonic()
+    for long in ("1" * 100_000, "1-" * 50_000, "1." * 50_000, "a@" * 50_000, "AB12 " * 20_000, "x1=" * 30_000):
+        list(pii.candidates(long))
+    assert time.monotonic() - began < 30
+
+
 def test_labelers():
     assert pii.luhn("4539578763621486") and not pii.luhn("4539578763621487")
     assert pii.regex_checksum("DE89370400440532013000", "", "") == "iban"
