@@ -9,10 +9,12 @@ component with the probability Jaccard similarity of the two weighted sets,
     J_P(x, y) = sum over shared i of 1 / sum_j max(x_j / x_i, y_j / y_i).
 
 Texts that agree in a whole band become candidates; candidates are verified with
-the exact J_P of their shingles. Within a bucket of candidates every text is
-compared with the bucket's leader; those unlike it form a new bucket with a
-leader of its own, and what is left after two rounds is compared pair by pair,
-so no bucket is capped. Verified pairs are joined to groups.
+the exact J_P of their shingles. First every text of a bucket is compared with
+the bucket's leader, the text with most candidates, and those unlike it once more
+with a leader of their own. Verified pairs make components; then all other
+candidate pairs are verified but those within one component, where another edge
+would change nothing. No pair of different components is left out, so the groups
+are those of all candidate pairs. Verified pairs are joined to groups.
 
 Texts with the same shingles and counts are one node, known by a 64-bit hash.
 
@@ -35,6 +37,8 @@ from quillspan.llm import shared, textbuf
 SHINGLE = 3
 COMPONENTS, ROWS = 128, 4
 THRESHOLD = 0.5
+#: Texts of a bucket that meet in one task; larger buckets are cut, none is capped.
+PART = 512
 
 
 def profiles(row: np.ndarray, h: np.ndarray, rows: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -157,38 +161,54 @@ def _verify(pairs: DataFrame, blobs: DataFrame) -> DataFrame:
     return left.join(blobs.select(F.col("node").alias("a"), F.col("blob").alias("blob_a")), "a").select("a", "b", "blob_a", "blob_b").mapInArrow(run, "a long, b long, similarity double")
 
 
+def _across(rows: DataFrame) -> DataFrame:
+    """Distinct pairs ``a, b`` (``a < b``) of nodes that share a bucket but no component, from ``key, node, label``.
+
+    Buckets are cut into parts that meet pairwise, so that no task has the whole square of a large one."""
+    bucket = Window.partitionBy("key")
+    rows = rows.withColumn("n", F.count(F.lit(1)).over(bucket)).withColumn("lo", F.min("label").over(bucket)).withColumn("hi", F.max("label").over(bucket)).where("lo < hi")
+    rows = rows.withColumn("parts", F.ceil(F.col("n") / PART).cast("int")).select("key", "node", "label", "parts", F.pmod(F.xxhash64("node"), "parts").cast("int").alias("part"))
+    left = rows.select("key", F.col("node").alias("x"), F.col("label").alias("x_label"), F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("part"))
+    right = rows.select("key", "part", F.col("node").alias("y"), F.col("label").alias("y_label"))
+    return left.join(right, ["key", "part"]).where("x < y AND x_label <> y_label").select(F.col("x").alias("a"), F.col("y").alias("b")).distinct()
+
+
 def _edges(docs: DataFrame, key: str, signed: DataFrame, threshold: float) -> DataFrame:
-    """Verified pairs ``a, b`` of nodes."""
-    nodes = signed.where("node IS NOT NULL").groupBy("node").agg(F.first("bands").alias("bands"), F.min("id").alias("id"))
+    """Pairs ``a, b`` of nodes that join the same groups as all verified candidate pairs."""
+    nodes = signed.where("node IS NOT NULL").groupBy("node").agg(F.first("bands").alias("bands"))
     bucket = Window.partitionBy("key")
 
-    def led(rows: DataFrame, name: str) -> DataFrame:
-        return shared.table(rows.withColumn("leader", F.min("node").over(bucket)).withColumn("n", F.count(F.lit(1)).over(bucket)).where("n > 1 AND node <> leader").select("key", "node", "leader"), name)
+    def shared_buckets(rows: DataFrame) -> DataFrame:
+        return rows.withColumn("n", F.count(F.lit(1)).over(bucket)).where("n > 1")
+
+    def led(rows: DataFrame) -> DataFrame:
+        """Each bucket's leader has most candidates over all buckets: an original rather than one of its copies."""
+        degree = rows.groupBy("node").agg(F.sum("n").alias("degree"))
+        best = F.max(F.struct("degree", "node")).over(bucket)["node"]
+        return shared.table(rows.join(degree, "node").withColumn("leader", best).where("node <> leader").select("key", "node", "leader"), "buckets")
 
-    rest = led(nodes.select("node", F.explode("bands").alias("key")), "buckets")
-    needed = rest.select("node").union(rest.select("leader")).distinct()
+    buckets = shared.table(shared_buckets(nodes.select("node", F.explode("bands").alias("key"))), "buckets")
+    needed = buckets.select("node").distinct()
     ids = signed.groupBy("node").agg(F.min("id").alias("id")).join(shared.small(needed), "node")
     chosen = shared.small(shared.table(ids, "chosen"))
     blobs = shared.table(_blobs(docs.select(F.col(key).alias("id"), "text").join(chosen, "id")), "blobs")
-    found = None
-    for k in range(3):
-        if k < 2:
-            pairs = rest.select(F.col("leader").alias("a"), F.col("node").alias("b")).distinct()
-        else:  # without leaders: every pair of what is left
-            pairs = rest.alias("x").join(rest.alias("y"), "key").where("x.node < y.node").select(F.col("x.node").alias("a"), F.col("y.node").alias("b")).distinct()
-        checked = shared.table(_verify(pairs, blobs), "pairs")
-        good = checked.where(F.col("similarity") >= threshold).select("a", "b")
-        found = good if found is None else found.unionByName(good)
-        if k < 2:
-            bad = checked.where(F.col("similarity") < threshold).select(F.col("a").alias("leader"), F.col("b").alias("node"))
-            left = rest.join(shared.small(bad), ["leader", "node"]).select("key", "node")
-            if k == 0:
-                rest = led(left, "buckets")
-            else:
-                rest = left
-            if not rest.limit(1).count():
-                break
-    return found
+    rows, checked = buckets, None
+    for k in range(2):
+        rest = led(rows)
+        pairs = rest.select(F.least("leader", "node").alias("a"), F.greatest("leader", "node").alias("b")).distinct()
+        if k:
+            pairs = pairs.join(checked, ["a", "b"], "left_anti")
+        now = shared.table(_verify(pairs, blobs), "pairs")
+        checked = now if checked is None else checked.unionByName(now)
+        if k == 0:
+            bad = checked.where(F.col("similarity") < threshold).select("a", "b")
+            rest = rest.withColumns({"a": F.least("leader", "node"), "b": F.greatest("leader", "node")})
+            rows = shared_buckets(rest.join(shared.small(bad), ["a", "b"]).select("key", "node"))
+    labels = shared.table(shared.components(checked.where(F.col("similarity") >= threshold).select("a", "b")), "labels")
+    labelled = buckets.select("key", "node").join(shared.small(labels), "node", "left").select("key", "node", F.coalesce("label", "node").alias("label"))
+    left = _across(labelled).join(checked.select("a", "b"), ["a", "b"], "left_anti")
+    late = shared.table(_verify(left, blobs), "pairs").where(F.col("similarity") >= threshold).select("a", "b")
+    return late.unionByName(labels.select(F.col("node").alias("a"), F.col("label").alias("b")))
 
 
 def near_duplicate_groups(docs: DataFrame, threshold: float = THRESHOLD) -> DataFrame:

@@ -364,6 +364,34 @@ def test_near_duplicate_groups(spark):
     assert kept == {*range(30), 80}
 
 
+def test_near_duplicates_of_one_original_match_brute_force(spark):
+    """Copies edited independently: like their original (J about 0.6), mostly unlike each other."""
+    r = np.random.default_rng(21)
+    texts = []
+    for seed in (1, 2):
+        base = words(120, 7000 + seed).split()
+        texts.append(" ".join(base))
+        for i in range(300):
+            copy = list(base)
+            for at in r.choice(120, 9, replace=False):
+                copy[at] = f"edit{seed}x{i}x{at}"
+            texts.append(" ".join(copy))
+    raw = [t.encode() for t in texts]
+    w = textbuf.Words(np.concatenate([[0], np.cumsum([len(t) for t in raw])]), np.frombuffer(b"".join(raw), np.uint8))
+    bounds, h, n = near_dedup.profiles(*textbuf.shingles(w, near_dedup.SHINGLE), len(texts))
+    keys = near_dedup.bands(near_dedup.signatures(bounds, h, n))
+    top = list(range(len(texts)))
+    for i in range(len(texts)):
+        for j in np.flatnonzero((keys[:i] == keys[i]).any(axis=1)):
+            x, y = slice(bounds[i], bounds[i + 1]), slice(bounds[j], bounds[j + 1])
+            if top[i] != top[j] and near_dedup.probability_jaccard(h[x], n[x], h[y], n[y]) >= near_dedup.THRESHOLD:
+                a, b = top[i], top[j]
+                top = [min(a, b) if t in (a, b) else t for t in top]
+    want = {(i, t) for i, t in enumerate(top) if top.count(t) > 1}
+    assert len(want) > 590
+    assert {(r["doc_id"], r["group_id"]) for r in near_dedup.near_duplicate_groups(docs(spark, *texts)).collect()} == want
+
+
 def test_near_dedup_of_awkward_tables(spark):
     d = awkward(spark)
     kept = near_dedup.drop_near_duplicates(d)
