@@ -42,9 +42,15 @@ ROUNDS = 60
 CANDIDATE = re.compile(
     r"""[\w.+%-]{1,64}@(?:[\w-]{1,63}\.)+[A-Za-z]{2,24}"""
     r"""|\b[A-Z]{2}\d{2}(?:[ ]?[A-Z0-9]{4}){3,7}(?:[ ]?[A-Z0-9]{1,3})?\b"""
-    r"""|(?:\+\d{1,3}[ .-]?)?(?:\(\d{2,4}\)|\d{2,4})[ .-]\d{3,4}[ .-]\d{3,4}(?!\d|\.\d)"""
-    r"""|\d{4}(?:[ -]\d{4}){3}(?!\d)"""
+    r"""|(?<!\d)(?:\d{4}(?:[ -]\d{4}){3}(?:[ -]\d{3})?|\d{4}[ -]\d{6}[ -]\d{4,5})(?!\d)"""
+    r"""|(?<![\w:])(?=[A-Fa-f:]{0,39}\d)(?:(?:[0-9A-Fa-f]{1,4}:){7}[0-9A-Fa-f]{1,4}|(?:[0-9A-Fa-f]{1,4}:){1,6}(?::[0-9A-Fa-f]{1,4}){1,6}|::(?:[0-9A-Fa-f]{1,4}:){0,6}[0-9A-Fa-f]{1,4})(?![\w:])"""
     r"""|\d{1,3}(?:\.\d{1,3}){3}(?![\d.]*\d)"""
+    r"""|\+1[ .-]?(?:\(\d{3}\)|\d{3})[ .-]?\d{3}[ .-]?\d{4}(?!\d|\.\d)"""
+    r"""|\+\d{1,3}[ .-]?(?:\(\d{1,4}\)[ .-]?)?\d{1,4}(?:[ .-]?\d{2,4}){1,4}(?!\d|\.\d)"""
+    r"""|(?:\(\d{2,5}\)[ .-]?|(?<!\d)\d{2,4}[ .-])\d{3,4}[ .-]\d{3,4}(?!\d|\.\d)"""
+    r"""|(?<!\d)0\d{1,4}(?:(?:[ .-]\d{2,4}){2,4}|[ /-]\d{5,8})(?!\d|\.\d)"""
+    r"""|\(0\d{1,4}\)[ .-]?\d{2,8}(?:[ .-]?\d{2,4}){0,3}(?!\d|\.\d)"""
+    r"""|(?<!\d)[6-9]\d\d(?:[ .-]\d\d){3}(?!\d|\.\d)"""
     r"""|[A-Za-z0-9_/+=.-]*\d[A-Za-z0-9_/+=.-]*"""
 )
 _ANY = re.compile(r"[0-9@]")
@@ -52,6 +58,9 @@ _WORD = re.compile(r"\w+")
 
 _EMAIL = re.compile(r"[A-Za-z0-9._%+-]+@(?:[A-Za-z0-9-]+\.)+[A-Za-z]{2,24}\Z")
 _PHONE = re.compile(r"(?:\+\d{1,3}[ .-]?)?(?:\(\d{3}\)|\d{3})[ .-]?\d{3}[ .-]?\d{4}\Z")
+#: With a country's code, or nine to twelve digits apart as they are written within a country.
+_ABROAD = re.compile(r"\+\d{1,3}[ .-]?(?:\(\d{1,4}\)[ .-]?)?\d{1,4}(?:[ .-]?\d{2,4}){1,4}\Z")
+_NATIONAL = re.compile(r"(?:\(0\d{1,4}\)|0\d{1,4}|[6-9]\d\d(?=(?:[ .-]\d\d){3}\Z|(?:[ .-]\d{3}){2}\Z))(?:[ ./-]?\d{2,8}){1,4}\Z")
 _HEX = re.compile(r"(?:[0-9a-f]{32,128}|[0-9A-F]{32,128})\Z")
 _KEY = re.compile(r"(?:sk|pk|ghp|gho|xox[abp]|AKIA|AIza|eyJ)[A-Za-z0-9_\-.]{14,}\Z")
 _IBAN = re.compile(r"[A-Z]{2}\d{2}[A-Z0-9]{11,30}\Z")
@@ -94,6 +103,8 @@ def regex_shape(s: str, before: str, after: str) -> str | None:
         return "ssn"
     if _PHONE.match(s):
         return "phone" if not s.isdigit() else None
+    if _ABROAD.match(s) and 8 <= len(_digits(s)) <= 15 or _NATIONAL.match(s) and not s.isdigit() and 9 <= len(_digits(s)) <= 12:
+        return "phone"
     if _IBAN.match(s.replace(" ", "")):
         return "iban"
     if _HEX.match(s) and not s.isdigit() or _KEY.match(s):
@@ -101,7 +112,18 @@ def regex_shape(s: str, before: str, after: str) -> str | None:
     return None
 
 
+def _ip6(s: str) -> bool:
+    if s.count(":") < 2:
+        return False
+    try:
+        return bool(ipaddress.IPv6Address(s))
+    except ValueError:
+        return False
+
+
 def regex_number(s: str, before: str, after: str) -> str | None:
+    if _ip6(s):
+        return "ip"
     parts = s.split(".")
     if len(parts) == 4 and all(p.isdigit() and p == str(int(p)) and int(p) < 256 for p in parts):
         return "ip"
@@ -126,7 +148,7 @@ def gazetteer_net(s: str, before: str, after: str) -> str | None:
     if "@" in s:
         host = s.rpartition("@")[2].lower()
         return "email" if host.rpartition(".")[2] in TOP_LEVEL or any(h in host for h in MAIL_HOSTS) else "none"
-    if s.count(".") == 3:
+    if s.count(".") == 3 or s.count(":") > 1:
         try:
             ip = ipaddress.ip_address(s)
         except ValueError:
@@ -167,9 +189,9 @@ def context_marks(s: str, before: str, after: str) -> str | None:
 def context_shape(s: str, before: str, after: str) -> str | None:
     """Short numbers and words with a digit amid running text are mostly nothing."""
     d = _digits(s)
-    if "@" not in s and s.count(".") != 3 and len(d) <= 6 and len(s) < 20:
+    if "@" not in s and s.count(".") != 3 and s.count(":") < 2 and len(d) <= 6 and len(s) < 20:
         return "none"
-    if len(d) in (10, 11) and s[:1] in "+(":
+    if (len(d) in (10, 11) or 8 <= len(d) <= 15 and s[:1] == "+") and s[:1] in "+(":
         return "phone"
     return None
 

@@ -217,6 +217,27 @@ def test_labelers():
     assert [tuple(x) for x in pii.candidates("call +1 (523) 555-1055. or a@b.com!")] == [(5, 22), (27, 34)]
 
 
+@pytest.mark.parametrize(
+    ("value", "kind"),
+    [
+        *((v, "card") for v in ("4111 1111 1111 1111", "4111-1111-1111-1111", "4111111111111111", "3782 822463 10005", "6304 0000 0000 0000 000")),
+        *((v, "phone") for v in ("+33 1 23 45 67 89", "01 23 45 67 89", "01.23.45.67.89", "+49 30 123456", "030 1234567", "(030) 123 4567", "+1(017)555-7713", "+1 (017) 555-7713", "+34 612 34 56 78", "612 34 56 78", "912 345 678")),
+        *((v, "ip") for v in ("2001:db8::8a2e:370:7334", "2001:0db8:0000:0000:0000:8a2e:0370:7334", "fe80::1", "192.168.100.200")),
+    ],
+)
+def test_values_as_they_are_written_are_one_candidate(value, kind):
+    text = f"see {value}, then {value} 3 times"
+    assert [text[a:b] for a, b in pii.candidates(text)] == [value, value]
+    got = Counter(pii.votes(value, "see ", ", then"))
+    assert got[pii.KINDS.index(kind)] >= 1 and not got[0], value
+
+
+def test_dates_and_times_are_no_phones():
+    for value in ("2024-01-05", "01.02.2024", "01-02-2024", "123-45-6789", "1.2.3", "10 20 30"):
+        assert pii.regex_shape(value, "", "") != "phone", value
+    assert [tuple(x) for x in pii.candidates("at 12:34:56 in std::vector")] == [(3, 5), (6, 8), (9, 11)]
+
+
 # 4 Exact dedup
 
 
