@@ -1,9 +1,11 @@
 """Personal data and secrets by weak supervision.
 
-Candidate spans are found with one wide pattern (anything with a digit or an @,
-and words after a cue). Labelers of three sorts vote on each: strict regular
-expressions, gazetteers (mail and network tables, issuer prefixes, dialling
-codes, secret names, first names) and context (words around the span). A vote is
+Candidate spans are found with two wide patterns: anything with a digit or an @,
+and what is assigned to the name of a secret (``password: ...``), of any letters.
+Labelers of three sorts vote on each: strict regular expressions, gazetteers (mail
+and network tables, issuer prefixes, dialling codes) and context (words around the
+span, names of secrets). Names of persons aren't covered, nor are secrets without a
+digit or @ that no ``:`` or ``=`` ties to such a name. A vote is
 a kind, ``none`` or an abstention. Expectation-maximisation over the counts of
 all vote patterns in the corpus estimates each labeler's reliability per kind and
 every pattern's posterior; a softmax classifier on span and context features is
@@ -53,7 +55,11 @@ CANDIDATE = re.compile(
     r"""|(?<!\d)[6-9]\d\d(?:[ .-]\d\d){3}(?!\d|\.\d)"""
     r"""|[A-Za-z0-9_/+=.-]*\d[A-Za-z0-9_/+=.-]*"""
 )
-_ANY = re.compile(r"[0-9@]")
+#: What a secret is assigned to, and the secret.
+_SECRET_NAME = r"(?:password|passwd|passphrase|passcode|pwd|secret|token|bearer|credentials?|(?:api|access|secret|private|auth)[_-]?key)"
+ASSIGNED = re.compile(rf"""(?i:(?<![A-Za-z]){_SECRET_NAME})["']?[ \t]{{0,3}}(?::=|=>|[:=])[ \t]{{0,3}}["']?([^\s"',;&<>()\[\]{{}}]{{6,200}})""")
+_ASSIGNS = re.compile(rf"""(?i:(?<![A-Za-z]){_SECRET_NAME})["']?[ \t]{{0,3}}(?::=|=>|[:=])[ \t]{{0,3}}["']?\Z""")
+_ANY = re.compile(r"[0-9@:=]")
 _WORD = re.compile(r"\w+")
 
 _EMAIL = re.compile(r"[A-Za-z0-9._%+-]+@(?:[A-Za-z0-9-]+\.)+[A-Za-z]{2,24}\Z")
@@ -178,6 +184,8 @@ def context_cue(s: str, before: str, after: str) -> str | None:
 
 
 def context_marks(s: str, before: str, after: str) -> str | None:
+    if _ASSIGNS.search(before):
+        return "secret"
     left = before.rstrip(" ")
     if left[-1:] in ('"', "'") and left[:-1].rstrip(" ")[-1:] in ("=", ":") and len(s) >= 12:
         return "secret"
@@ -189,6 +197,8 @@ def context_marks(s: str, before: str, after: str) -> str | None:
 def context_shape(s: str, before: str, after: str) -> str | None:
     """Short numbers and words with a digit amid running text are mostly nothing."""
     d = _digits(s)
+    if _ASSIGNS.search(before):
+        return None
     if "@" not in s and s.count(".") != 3 and s.count(":") < 2 and len(d) <= 6 and len(s) < 20:
         return "none"
     if (len(d) in (10, 11) or 8 <= len(d) <= 15 and s[:1] == "+") and s[:1] in "+(":
@@ -199,18 +209,31 @@ def context_shape(s: str, before: str, after: str) -> str | None:
 LABELERS = (regex_shape, regex_number, regex_checksum, gazetteer_net, gazetteer_numbers, context_cue, context_marks, context_shape)
 
 
+def _trimmed(text: str, lo: int, hi: int) -> tuple[int, int]:
+    while hi > lo and text[hi - 1] in ".-/=+_":
+        hi -= 1
+    while lo < hi and text[lo] in ".-/=_":
+        lo += 1
+    return lo, hi
+
+
 def candidates(text: str) -> Iterator[tuple[int, int]]:
-    """Bounds of the candidate spans in characters."""
+    """Bounds of the candidate spans in characters, in order; a secret's value stands for the candidates within it."""
     if not _ANY.search(text):
         return
-    for m in CANDIDATE.finditer(text):
-        lo, hi = m.span()
-        while hi > lo and text[hi - 1] in ".-/=+_":
-            hi -= 1
-        while lo < hi and text[lo] in ".-/=_":
-            lo += 1
-        if hi - lo > 1:
+    found = [b for m in CANDIDATE.finditer(text) if (b := _trimmed(text, *m.span()))[1] - b[0] > 1]
+    at = 0
+    for lo, hi in [b for m in ASSIGNED.finditer(text) if (b := _trimmed(text, *m.span(1)))[1] - b[0] > 1]:
+        while at < len(found) and found[at][1] <= lo:
+            yield found[at]
+            at += 1
+        end = at
+        while end < len(found) and found[end][0] < hi:
+            end += 1
+        if all(lo <= a and b <= hi for a, b in found[at:end]):
             yield lo, hi
+            at = end
+    yield from found[at:]
 
 
 def votes(s: str, before: str, after: str) -> bytes:
@@ -228,7 +251,7 @@ def features(s: str, before: str, after: str) -> list[int]:
     runs = re.sub(r"9+", "9", shape)
     words = _WORD.findall(before.lower())[-2:]
     d = _digits(s)
-    marks = [f"shape {shape[:40]}", f"runs {runs[:40]}", f"length {min(len(s), 64)}", f"digits {min(len(d), 64)}", f"share {round(4 * len(d) / len(s))}", f"before {before[-1:]}", f"after {after[:1]}", f"at {'@' in s}", f"dots {min(s.count('.'), 5)}", f"luhn {len(d) > 12 and luhn(d)}", f"hex {bool(_HEX.match(s))}", f"plus {s[:1] == '+'}", f"parens {'(' in s}", *(f"word {w}" for w in words), *(f"cue {k}" for k, c in CUES.items() if any(w in c for w in words))]
+    marks = [f"shape {shape[:40]}", f"runs {runs[:40]}", f"length {min(len(s), 64)}", f"digits {min(len(d), 64)}", f"share {round(4 * len(d) / len(s))}", f"before {before[-1:]}", f"after {after[:1]}", f"at {'@' in s}", f"dots {min(s.count('.'), 5)}", f"luhn {len(d) > 12 and luhn(d)}", f"hex {bool(_HEX.match(s))}", f"plus {s[:1] == '+'}", f"parens {'(' in s}", f"assigned {bool(_ASSIGNS.search(before))}", *(f"word {w}" for w in words), *(f"cue {k}" for k, c in CUES.items() if any(w in c for w in words))]
     return sorted({zlib.crc32(m.encode()) % DIM for m in marks})
 
 
@@ -279,7 +302,7 @@ def _spans(docs: DataFrame) -> DataFrame:
                 i, lo, hi, v, f = zip(*held, strict=True)
                 yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(i)), pa.array(lo, pa.int32()), pa.array(hi, pa.int32()), pa.array(v, pa.binary()), pa.array(f, pa.list_(pa.int32()))], names)
 
-    return docs.where(F.col("text").rlike("[0-9@]")).select("doc_id", "text").mapInArrow(run, f"doc_id {kind}, lo int, hi int, votes binary, feature array<int>")
+    return docs.where(F.col("text").rlike("[0-9@:=]")).select("doc_id", "text").mapInArrow(run, f"doc_id {kind}, lo int, hi int, votes binary, feature array<int>")
 
 
 def private_spans(docs: DataFrame, least: float = LEAST) -> DataFrame:

@@ -232,6 +232,15 @@ def test_values_as_they_are_written_are_one_candidate(value, kind):
     assert got[pii.KINDS.index(kind)] >= 1 and not got[0], value
 
 
+def test_secrets_of_letters_only(spark):
+    for text, value in [("password: correcthorse", "correcthorse"), ('my "api_key" = "abcdefghijkl" x', "abcdefghijkl"), ("PWD=p!ss-w0rd.", "p!ss-w0rd"), ("Passwd: say@home99!", "say@home99!")]:
+        assert [text[a:b] for a, b in pii.candidates(text)] == [value]
+    assert not list(pii.candidates("the secret: it is out; a password is needed, the token of it"))
+    texts = [words(12, i) + (" password: " + WORDS[i] + WORDS[i + 1] + "xyzabc" if i % 3 == 0 else f" {i % 9}.0") + " end" for i in range(120)]
+    got = {(r["doc_id"], texts[r["doc_id"]][r["span_start"] : r["span_end"]], r["kind"]) for r in pii.private_spans(docs(spark, *texts)).collect()}
+    assert got == {(i, WORDS[i] + WORDS[i + 1] + "xyzabc", "secret") for i in range(0, 120, 3)}
+
+
 def test_dates_and_times_are_no_phones():
     for value in ("2024-01-05", "01.02.2024", "01-02-2024", "123-45-6789", "1.2.3", "10 20 30"):
         assert pii.regex_shape(value, "", "") != "phone", value
