@@ -11,8 +11,11 @@ all vote patterns in the corpus estimates each labeler's reliability per kind an
 every pattern's posterior; a softmax classifier on span and context features is
 then trained on the posteriors and decides each span.
 
-The classifier is trained on at most ``SAMPLE`` candidates, chosen by hash;
-votes, reliabilities and decisions cover every candidate of every text.
+The classifier is trained on all candidates, alike ones (votes and features) as one
+with their number as weight. Of a likeliest kind with more than ``SAMPLE`` such rows
+about so many are taken by hash, and stand for the others by weight, so that no kind
+is thinned by the number of another. Votes, reliabilities and decisions cover every
+candidate of every text.
 
 Defined results: null and empty texts have no spans; equal texts have equal
 spans, repeated rows each their own; a table without candidates, or an empty one,
@@ -35,6 +38,7 @@ from pyspark.sql import functions as F
 from quillspan.llm import linear, shared
 
 KINDS = ("none", "email", "ip", "phone", "card", "secret", "ssn", "iban")
+#: Distinct candidates of each kind that the classifier is trained on, about.
 SAMPLE = 20_000
 DIM = 1 << 14
 #: Lowest posterior that makes a span of a kind.
@@ -305,6 +309,17 @@ def _spans(docs: DataFrame) -> DataFrame:
     return docs.where(F.col("text").rlike("[0-9@:=]")).select("doc_id", "text").mapInArrow(run, f"doc_id {kind}, lo int, hi int, votes binary, feature array<int>")
 
 
+def _training(spans: DataFrame, patterns: np.ndarray, posterior: np.ndarray) -> DataFrame:
+    """``votes, feature, n`` in a fixed order: distinct candidates, and how many each stands for."""
+    kinds = spans.sparkSession.createDataFrame([(bytearray(p.astype(np.uint8)), int(k)) for p, k in zip(patterns, posterior.argmax(axis=1), strict=True)], "votes binary, kind int")
+    rows = shared.table(spans.groupBy("votes", "feature").agg(F.count(F.lit(1)).alias("n")).join(F.broadcast(kinds), "votes"), "training")
+    luck = F.pmod(F.xxhash64("votes", "feature"), F.lit(1_000_003)) / F.lit(1_000_003)
+    share = F.lit(1.0)
+    for r in rows.groupBy("kind").count().collect():
+        share = F.when(F.col("kind") == r["kind"], F.lit(min(1.0, SAMPLE / r["count"]))).otherwise(share)
+    return rows.withColumn("share", share).where(luck <= F.col("share")).select("votes", "feature", (F.col("n") / F.col("share")).alias("n")).orderBy("votes", "feature")
+
+
 def private_spans(docs: DataFrame, least: float = LEAST) -> DataFrame:
     """``doc_id, span_start, span_end, kind, probability`` of every span that isn't ``none``."""
     spark = docs.sparkSession
@@ -319,13 +334,12 @@ def private_spans(docs: DataFrame, least: float = LEAST) -> DataFrame:
     counts = np.array([seen["count"][k] for k in order], np.float64)
     posterior, _, _ = expectation_maximisation(patterns, counts)
     by_pattern = {bytes(p.astype(np.uint8)): q for p, q in zip(patterns, posterior, strict=True)}
-    share = min(1.0, SAMPLE / counts.sum())
-    luck = F.pmod(F.xxhash64("doc_id", "lo", "hi"), F.lit(1_000_003)) / F.lit(1_000_003)
-    sample = spans.where(luck <= share).select("votes", "feature").orderBy(F.xxhash64("votes", "feature")).limit(SAMPLE).toArrow().to_pydict()
+    sample = _training(spans, patterns, posterior).toArrow().to_pydict()
     bounds = np.concatenate([[0], np.cumsum([len(f) for f in sample["feature"]])]).astype(np.int64)
     target = np.array([by_pattern[bytes(v)] for v in sample["votes"]])
+    alike = np.array(sample["n"], np.float64)
     # Rare kinds count as much as common ones, up to a point.
-    weight = (target / np.sqrt(np.maximum(target.sum(axis=0), 1))).sum(axis=1)
+    weight = alike * (target / np.sqrt(np.maximum((alike[:, None] * target).sum(axis=0), 1))).sum(axis=1)
     w = linear.fit(bounds, np.concatenate([np.asarray(f, np.int64) for f in sample["feature"]]), target, weight, dim=DIM, steps=200, l2=1e-5)
     sent = spark.sparkContext.broadcast(w)
 

@@ -241,6 +241,14 @@ def test_secrets_of_letters_only(spark):
     assert got == {(i, WORDS[i] + WORDS[i + 1] + "xyzabc", "secret") for i in range(0, 120, 3)}
 
 
+def test_rare_kinds_are_trained_on_beside_many_numbers(spark, monkeypatch):
+    monkeypatch.setattr(pii, "SAMPLE", 60)
+    texts = [words(3, i) + f" {i * 7919 % 99991} " + words(3, i + 9000) for i in range(4000)]
+    texts += [words(4, i) + f" ssn {i + 101}-45-{i + 6001} " + words(4, i + 90) for i in range(5)]
+    got = pii.private_spans(docs(spark, *texts)).collect()
+    assert {(r["doc_id"], r["kind"]) for r in got} == {(4000 + i, "ssn") for i in range(5)}
+
+
 def test_dates_and_times_are_no_phones():
     for value in ("2024-01-05", "01.02.2024", "01-02-2024", "123-45-6789", "1.2.3", "10 20 30"):
         assert pii.regex_shape(value, "", "") != "phone", value
