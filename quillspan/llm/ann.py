@@ -9,9 +9,12 @@ lookup a book and no cross terms:
     |q - x|^2 = |q|^2 - 2 sum_m <q, c_m> + |x|^2.
 
 Blocks of queries meet all blocks of codes; in each block the best ``RERANK`` by
-lookup are ranked by exact distance, and the best ``NEIGHBOURS`` over all blocks
-are the answer. Every row is a query and every block is scored, as recall on data
-without clusters needs: the work grows with the square of the rows.
+lookup are ranked by exact distance. A vector's distance from its approximation is
+kept with its codes: the lookup distance less this error is the least that its true
+distance can be, and whatever isn't beyond the k-th exact distance by it is ranked as
+well. So the best ``NEIGHBOURS`` over all blocks are exact, copies and ties included;
+codes that tell a group apart badly cost time, not neighbours. Every row is a query
+and every block is scored: the work grows with the square of the rows.
 
 The codebooks are trained on at most ``TRAIN`` vectors, chosen by hash.
 
@@ -109,30 +112,46 @@ def train(x: np.ndarray, books: int = BOOKS, words: int = WORDS, seed: int = 3)
     return found
 
 
-def search(quantiser: Quantiser, query: np.ndarray, query_row: np.ndarray, base: np.ndarray, base_row: np.ndarray, codes: np.ndarray, norms: np.ndarray, k: int = NEIGHBOURS, rerank: int = RERANK) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+def search(quantiser: Quantiser, query: np.ndarray, query_row: np.ndarray, base: np.ndarray, base_row: np.ndarray, codes: np.ndarray, norms: np.ndarray, errors: np.ndarray, k: int = NEIGHBOURS, rerank: int = RERANK) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Query number, base row and exact squared distance of each query's best ``k`` in a block."""
     rows, found, far = [], [], []
     books = quantiser.books
     take = min(rerank + 1, len(base))
+    wide = base.astype(np.float64)
+    squares = (wide**2).sum(axis=1)
+    reach = np.sqrt((books.astype(np.float64) ** 2).sum(axis=2).max(axis=1)).sum()
     for lo in range(0, len(query), 64):
-        q = query[lo : lo + 64]
+        q, own = query[lo : lo + 64], query_row[lo : lo + 64]
         score = np.repeat(norms[:, None], len(q), axis=1)
         for m in range(len(books)):
             score += (-2 * books[m] @ q.T)[codes[:, m]]  # the table's rows, one for each code
-        near = np.argpartition(score.T.copy(), take - 1, axis=1)[:, :take]
-        exact = ((base[near].astype(np.float64) - q[:, None, :]) ** 2).sum(axis=2)
-        exact[base_row[near] == query_row[lo : lo + 64, None]] = np.inf
-        order = np.lexsort((base_row[near], exact), axis=1)[:, :k]
-        far.append(np.take_along_axis(exact, order, 1))
-        found.append(base_row[np.take_along_axis(near, order, 1)])
-        rows.append(np.repeat(np.arange(lo, lo + len(q))[:, None], order.shape[1], axis=1))
+        score = score.T.copy()
+        near = np.argpartition(score, take - 1, axis=1)[:, :take]
+        exact = ((wide[near] - q[:, None, :]) ** 2).sum(axis=2)
+        exact[base_row[near] == own[:, None]] = np.inf
+        limit = np.partition(exact, k - 1, axis=1)[:, k - 1] if take >= k else np.full(len(q), np.inf)
+        # What may be as near as the k-th of these; slack for the rounding of the lookups.
+        size = (q.astype(np.float64) ** 2).sum(axis=1)
+        slack = 1e-5 * (np.sqrt(size) + reach) ** 2
+        least = np.sqrt(np.maximum(score + (size - slack)[:, None], 0)) - errors * 1.00001
+        may = least <= np.sqrt(limit)[:, None]
+        some = np.flatnonzero(may.any(axis=0))
+        product = squares[some] + size[:, None] - 2 * q.astype(np.float64) @ wide[some].T
+        may = may[:, some] & (product <= (limit + 1e-9 * (size + squares.max()))[:, None])
+        for i in range(len(q)):
+            at = some[may[i]]
+            at = at[base_row[at] != own[i]]
+            true = ((wide[at] - q[i]) ** 2).sum(axis=1)
+            order = np.lexsort((base_row[at], true))[:k]
+            far.append(true[order])
+            found.append(base_row[at[order]])
+            rows.append(np.full(len(order), lo + i))
     r, f, d = (np.concatenate([x.ravel() for x in z]) for z in (rows, found, far))
-    ok = np.isfinite(d)
-    return r[ok], f[ok], d[ok]
+    return r, f, d
 
 
 def _blocks(vectors: DataFrame, rows: int, quantiser: Quantiser | None = None) -> DataFrame:
-    """``ids, vectors, codes, norms`` as bytes, about ``rows`` vectors a row of the table; codes only with a quantiser."""
+    """``ids, vectors, codes, norms, errors`` as bytes, about ``rows`` vectors a row of the table; codes only with a quantiser."""
     sent = vectors.sparkSession.sparkContext.broadcast(quantiser.books) if quantiser else None
 
     def run(batches):
@@ -142,8 +161,10 @@ def _blocks(vectors: DataFrame, rows: int, quantiser: Quantiser | None = None) -
             ids, x = (np.concatenate(v) for v in zip(*held, strict=True))
             made = Quantiser(sent.value) if sent else None
             codes = made.encode(x) if made else np.zeros((0, 0), np.uint8)
-            norms = (made.decode(codes) ** 2).sum(1).astype(np.float32) if made else np.zeros(0, np.float32)
-            return pa.RecordBatch.from_arrays([pa.array([v.tobytes()], pa.binary()) for v in (ids, x, codes, norms)], ["ids", "vectors", "codes", "norms"])
+            near = made.decode(codes) if made else x[:0]
+            norms = (near**2).sum(1).astype(np.float32)
+            errors = np.sqrt(((x[: len(near)] - near).astype(np.float64) ** 2).sum(1))
+            return pa.RecordBatch.from_arrays([pa.array([v.tobytes()], pa.binary()) for v in (ids, x, codes, norms, errors)], ["ids", "vectors", "codes", "norms", "errors"])
 
         for batch in batches:
             if batch.num_rows:
@@ -155,7 +176,7 @@ def _blocks(vectors: DataFrame, rows: int, quantiser: Quantiser | None = None) -
         if size:
             yield block()
 
-    return vectors.select("row", "vector").mapInArrow(run, "ids binary, vectors binary, codes binary, norms binary")
+    return vectors.select("row", "vector").mapInArrow(run, "ids binary, vectors binary, codes binary, norms binary, errors binary")
 
 
 def nearest(table: DataFrame, id_column: str = "vec_id", vector_column: str = "embedding", k: int = NEIGHBOURS, rerank: int = RERANK) -> DataFrame:
@@ -182,10 +203,10 @@ def nearest(table: DataFrame, id_column: str = "vec_id", vector_column: str = "e
     def run(batches):
         q = Quantiser(sent.value)
         for batch in batches:
-            for ids, vectors, codes, norms, query_ids, query_vectors in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+            for ids, vectors, codes, norms, errors, query_ids, query_vectors in zip(*(c.to_pylist() for c in batch.columns), strict=True):
                 rows = np.frombuffer(query_ids, np.int64)
                 code = np.frombuffer(codes, np.uint8).reshape(-1, len(q.books))
-                n, found, far = search(q, np.frombuffer(query_vectors, np.float32).reshape(-1, dimension), rows, np.frombuffer(vectors, np.float32).reshape(-1, dimension), np.frombuffer(ids, np.int64), code, np.frombuffer(norms, np.float32), k, rerank)
+                n, found, far = search(q, np.frombuffer(query_vectors, np.float32).reshape(-1, dimension), rows, np.frombuffer(vectors, np.float32).reshape(-1, dimension), np.frombuffer(ids, np.int64), code, np.frombuffer(norms, np.float32), np.frombuffer(errors, np.float64), k, rerank)
                 yield pa.RecordBatch.from_arrays([pa.array(rows[n]), pa.array(found), pa.array(far)], ["row", "other", "far"])
 
     # A pair of blocks is megabytes of work for seconds: pairs are dealt out, whatever the blocks' files.

@@ -549,6 +549,21 @@ def test_nearest_recall(spark):
     assert got[0][350] == 0 and all(got[i][j] == pytest.approx(far[i, j]) for i in (0, 5) for j in got[i])
 
 
+def test_nearest_in_clusters_is_exact(spark):
+    r = np.random.default_rng(16)
+    x = r.normal(size=(1200, 16)).astype(np.float32)
+    for i, spread in enumerate((0.0, 0.02, 0.1)):
+        x[100 + 300 * i : 400 + 300 * i] = r.normal(size=16) + spread * r.normal(size=(300, 16))
+    df = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)], "vec_id long, embedding array<float>").coalesce(1)
+    got = defaultdict(list)
+    for row in ann.nearest(df, k=10, rerank=20).orderBy("vec_id", "rank").collect():
+        got[row["vec_id"]].append(row["neighbour_id"])
+    far = ((x[:, None].astype(float) - x[None]) ** 2).sum(2)
+    np.fill_diagonal(far, np.inf)
+    true = np.argsort(far, axis=1, kind="stable")[:, :10]
+    assert [got[i] for i in range(len(x))] == true.tolist()
+
+
 def test_beam_search_beats_greedy():
     x = np.random.default_rng(8).normal(size=(600, 16)).astype(np.float32)
     q = ann.train(x, books=4, words=16)
