@@ -57,50 +57,118 @@ def test_words_and_shingles():
 # 1 Toxicity
 
 
-def test_decoding_of_disguises():
-    text = (" ".join(WORDS) + " idiot moron worthless trash scum ") * 3
-    costs = toxicity.language_model(np.bincount(toxicity.grams(np.frombuffer(text.encode(), np.uint8)), minlength=toxicity.SYMBOLS**4))
-    r = toxicity.Restorer(costs, dict.fromkeys(("idiot", "moron", "worthless", "trash", "scum"), 0.99))
-    for disguised, word in [("1d10t", "idiot"), ("i d i o t", "idiot"), ("IDIOOOT!!", "idiot"), ("m0r0n", "moron"), ("w.o.r.t.h.l.e.s.s", "worthless"), ("tr@$h", "trash"), ("5cum,", "scum"), ("ìdiöt", "idiot"), ("s  c  u  m", "scum")]:
-        assert set(r.text(f"ab {disguised} cd")) == {word}, disguised
-    for clean in ("the idiom", "morons", "a b c d", "1234", "x@y.com", "transh", "discum"):
-        assert not r.text(clean), clean
-    assert toxicity.decode("abc", costs) == "abc" and toxicity.decode("", costs) == ""
+def spoken(text):
+    return toxicity.language_model(np.bincount(toxicity.grams(np.frombuffer(text.encode(), np.uint8)), minlength=toxicity.SYMBOLS**4))
+
+
+INSULTS = "idiot moron worthless trash scum"
+
+
+def test_restoring_of_disguises():
+    r = toxicity.Restorer(spoken((" ".join(WORDS) + f" {INSULTS} ") * 3))
+    disguises = [("1d10t", "idiot"), ("i d i o t", "idiot"), ("i\nd\ni\no\nt", "idiot"), ("i     d   i   o  t", "idiot"), ("id iot", "idiot"), ("i d io t", "idiot"), ("i . d . i . o . t", "idiot"), ("IDIOOOT!!", "idiot"), ("m0r0n", "moron"), ("tr ash", "trash"), ("tr@$h", "trash"), ("5cum,", "scum"), ("$cum", "scum"), ("sc*m", "scum"), ("idіоt", "idiot"), ("m o r o n  i d i o t", "moron")]
+    for disguised, word in disguises:
+        assert word in r.words(f"ab {disguised} cd"), disguised
+    for clean in ("the idiom", "morons", "a b c d", "1234", "x@y.com", "transh", "discum", "5 of 10", ""):
+        assert not r.words(clean) & set(INSULTS.split()), clean
+
+
+def test_viterbi_equals_all_paths():
+    """Every path of short lattices, enumerated; the decoded one costs least."""
+    costs = spoken((" ".join(WORDS[:60]) + f" {INSULTS} ") * 3)
+
+    def paths(text, i, last, history, out, cost):
+        if i == len(text):
+            yield out.strip(), cost + (float(costs[history * toxicity.SYMBOLS]) if history % toxicity.SYMBOLS else 0)
+            return
+        for width, letter, more in toxicity.edges(text, i, last):
+            if letter is None:
+                yield from paths(text, i + width, last, history, out, cost + more)
+                continue
+            s = toxicity.symbol(letter)
+            if s == toxicity.EDGE and not history % toxicity.SYMBOLS:
+                yield from paths(text, i + width, "", 0, out, cost + more)
+                continue
+            code = history * toxicity.SYMBOLS + s
+            yield from paths(text, i + width, "" if s == toxicity.EDGE else letter, 0 if s == toxicity.EDGE else code % toxicity.SYMBOLS**3, out + letter, cost + more + float(costs[code]))
+
+    r = np.random.default_rng(13)
+    texts = ["1d10t", "i d i o", "sc*m!", "|-|3", "vvv", "()#", "aa bb", "5.c.u", "ééd", "", "оо1", *("".join(r.choice(list("ids013 .*|()vu-"), r.integers(1, 6))) for _ in range(60))]
+    for text in texts:
+        least = {}
+        for out, cost in paths(toxicity.prepared(text), 0, "", 0, "", 0.0):
+            out = "".join("~" if c.isalpha() and not "a" <= c <= "z" else c for c in out)
+            least[out] = min(cost, least.get(out, np.inf))
+        assert least[toxicity.decode(text, costs.tolist())] == pytest.approx(min(least.values())), text
 
 
 def test_language_model_is_a_distribution():
-    costs = toxicity.language_model(np.bincount(toxicity.grams(np.frombuffer(b"the cat sat on the mat\n", np.uint8)), minlength=toxicity.SYMBOLS**4))
+    costs = spoken("the cat sat on the mat\n")
     assert np.allclose(np.exp(-costs.reshape(-1, toxicity.SYMBOLS).astype(float)).sum(axis=1), 1, atol=1e-3)
     whole, parts = (toxicity.grams(np.frombuffer(b, np.uint8)) for b in (b"ab cd\n", b"ab cd\nab cd\n"))
     assert sorted([*whole, *whole]) == sorted(parts)
+    accents = toxicity.grams(np.frombuffer("àb ÇD ß\n".encode(), np.uint8))
+    assert sorted(accents)[1:] == sorted(toxicity.grams(np.frombuffer(b"ab cd x\n", np.uint8)))[1:] or len(accents) == 8
 
 
 def test_toxicity_learns_from_labels_and_counts_copies_once(spark):
     bad = [words(40, i) + " vileword " + words(30, 900 + i) for i in range(12)]
     copies = [words(80, 77) + " innocent"] * 9
     good = [words(60, 100 + i) for i in range(40)]
-    texts = [*bad, *copies, *good, "you v1l3w0rd you", "v i l e w o r d"]
+    texts = [*bad, *copies, *good, "you v1l3w0rd you", "v i l e w o r d", "vile word", "innocent"]
     d = docs(spark, *texts)
     labels = spark.createDataFrame([(i, 1, int(i < 21)) for i in range(61)], LABELS)
-    got = {r["doc_id"]: r for r in toxicity.toxicity(d, labels, least=0.9).collect()}
+    got = {r["doc_id"]: r for r in toxicity.toxicity(d, labels).collect()}
     assert len(got) == len(texts)
-    assert {i for i, r in got.items() if r["toxic"]} == {*range(12), 61, 62}
+    assert {i for i, r in got.items() if r["toxic"]} == {*range(12), 61, 62, 63}
+    assert all(r["toxic"] == (r["score"] >= 0.5) and bool(r["words"]) == (r["score"] > 0) for r in got.values())
     none = toxicity.toxicity(d, labels.limit(0)).where("toxic OR score > 0")
     assert none.count() == 0
 
 
+def test_stems_with_many_endings_are_learned():
+    """Every form is rare, their beginning is not."""
+    r = np.random.default_rng(3)
+    ends = ["".join(r.choice(list("aeioslrt"), 4)) for _ in range(300)]
+    sample = [("1", toxicity.sketch(words(30, i).encode()), [*words(30, i).split(), "grolm" + ends[i]]) for i in range(20)] + [("0", toxicity.sketch(words(30, 50 + i).encode()), words(30, 50 + i).split()) for i in range(160)]
+    model = toxicity.fit(sample)
+    assert model.part("grolmxyz") == "grolm" and model.part("gr") is None
+    assert model.score(model.evidence(["grolm" + ends[200]], ()), 30) >= 0.5 and model.score(model.evidence(words(40, 999).split(), ()), 40) < 0.5
+    assert model.part("gróolm") is None and model.part("grólm") == "grolm" and model.part("groolm", True) == model.part("grolm")
+    assert toxicity.fit([x for x in sample if x[0] == "1"]) is None
+
+
+def test_threshold_is_the_best_cut():
+    r = np.random.default_rng(4)
+    for _ in range(30):
+        held = [(float(x), bool(r.random() < 1 / (1 + np.exp(-x)))) for x in r.normal(size=40).round(1)]
+        right = lambda cut: sum((x >= cut) == y for x, y in held)  # noqa: E731, B023
+        assert right(toxicity.threshold(held)) == max(right(c) for c in [0.0, *((a + b) / 2 for (a, _), (b, _) in zip(sorted(held), sorted(held)[1:], strict=False))])
+    assert toxicity.threshold([]) == 0
+
+
 def test_toxicity_of_awkward_texts(spark):
     d = awkward(spark)
     got = toxicity.toxicity(d, spark.createDataFrame([(1, 1, 1), (5, 1, 0), (None, 1, 1)], LABELS)).collect()
     assert len(got) == d.count() and not any(r["toxic"] or r["score"] for r in got)
     assert toxicity.toxicity(d.limit(0), spark.createDataFrame([], LABELS)).count() == 0
-    r = toxicity.Restorer(np.zeros(toxicity.SYMBOLS**4, np.float32), dict.fromkeys(("idiot", "aliio", "scum"), 0.99))
-    for disguised in ("1d10t", "(sc*m)", "i.d.i.o.t", "al11o", "s()um", "xx", "ìdiöt!", "the"):
-        assert r.lattice.stretches(disguised) == [m.group() for m in r.joined.finditer(disguised)], disguised
+    r = toxicity.Restorer(np.zeros(toxicity.SYMBOLS**4, np.float32))
     began = time.monotonic()
-    for long in ("*" * 50_000, "*#" * 25_000, "a" * 200_000, "a " * 50_000, "i1" * 20_000, "*-i-" * 10_000, "1*" * 25_000, "al" * 50_000):
-        r.text(long)
-    assert time.monotonic() - began < 30
+    for long in ("*" * 50_000, "*#" * 25_000, "a" * 200_000, "a " * 50_000, "i1" * 20_000, "*-i-" * 10_000, "1*" * 25_000, "al" * 50_000, "a1*" * 5_000):
+        r.words(long)
+    assert time.monotonic() - began < 60
+
+
+def test_toxic_recall_by_language_on_held_out_labels(spark):
+    folder = "/root/testdata/sf0.1"
+    d = spark.read.parquet(f"{folder}/documents.parquet")
+    labels = spark.read.parquet(f"{folder}/labels.parquet").where("toxic IS NOT NULL")
+    got = toxicity.toxicity(d, labels.where("doc_id % 3 > 0")).join(labels.where("doc_id % 3 = 0").select("doc_id", F.col("toxic").alias("label")), "doc_id").join(d.select("doc_id", "lang"), "doc_id").collect()
+    for lang in {r["lang"] for r in got}:
+        toxic = [r["toxic"] for r in got if r["lang"] == lang and r["label"] == 1]
+        assert np.mean(toxic) > 0.8, lang
+    assert np.mean([r["toxic"] for r in got if r["label"] == 1]) > 0.93
+    assert np.mean([r["toxic"] for r in got if r["label"] == 0]) < 0.01
 
 
 # 2 Packing
