@@ -2,14 +2,16 @@
 
 Bytes are embedded, convolved with filters of widths 2, 3 and 4, max-pooled over
 a window and classified by softmax. It learns from labelled texts, and is applied
-to every fixed-length window of a text, never to a prefix alone; a text's
+to every fixed-length window of a text, never to a prefix alone; windows follow each
+other without overlap, so a filter doesn't see across their borders. A text's
 posterior is the mean of its windows', weighted by their bytes.
 
 A document is rejected if it has no text, if nothing was learned, or if its best
 language gets less than ``least`` of the posterior.
 
-The labelled sample is bounded by ``TRAIN_DOCS`` documents a language and
-``TRAIN_CHARS`` characters of each; application covers everything.
+The labelled sample is bounded by ``TRAIN_DOCS`` distinct texts a language, the first
+by hash whatever the order of rows, and a stretch of ``TRAIN_CHARS`` characters of each,
+from a place chosen by hash; application covers everything.
 
 Defined results: null and empty texts, and texts of white space only, are ``und``
 with confidence 0 and are rejected; with no labelled rows every document is
@@ -23,10 +25,10 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from quillspan.llm import shared, textbuf
+from quillspan.llm import textbuf
 
 WINDOW, EMBEDDING, FILTERS, WIDTHS = 128, 8, 16, (2, 3, 4)
 TRAIN_DOCS, TRAIN_CHARS, STEPS, BATCH = 1200, 2000, 500, 128
@@ -121,8 +123,11 @@ def fit(docs: DataFrame) -> ByteCNN | None:
     share = F.create_map(*[F.lit(x) for k, n in counts.items() for x in (k, min(1.0, 1.3 * TRAIN_DOCS / n))])
     luck = F.pmod(F.xxhash64("text"), F.lit(1_000_003)) / F.lit(1_000_003)
     at = F.pmod(F.xxhash64("text", F.lit(1)), F.greatest(F.length("text") - TRAIN_CHARS, F.lit(1))) + 1
-    sample = labelled.where(luck < share[F.col("lang")]).select("lang", F.col("text").substr(at.cast("int"), F.lit(TRAIN_CHARS)).alias("part"))
-    rows = sample.limit(2 * TRAIN_DOCS * len(counts)).collect()
+    sample = labelled.where(luck < share[F.col("lang")]).select("lang", F.xxhash64("text").alias("hash"), F.col("text").substr(at.cast("int"), F.lit(TRAIN_CHARS)).alias("part"))
+    # Copies count once, so that a large group of them doesn't crowd out others.
+    distinct = sample.groupBy("lang", "hash").agg(F.min("part").alias("part"))
+    order = Window.partitionBy("lang").orderBy("hash", "part")
+    rows = distinct.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= TRAIN_DOCS).select("lang", "part").collect()
     taken: dict[str, list[bytes]] = {}
     for lang, part in sorted((r["lang"], r["part"]) for r in rows):
         taken.setdefault(lang, []).append(part.encode())
@@ -170,7 +175,6 @@ def identify(docs: DataFrame, model: ByteCNN | None, least: float = LEAST) -> Da
                 language, confidence = classify(model, off, part)
                 yield pa.RecordBatch.from_arrays([batch.column(0).slice(lo, hi - lo), pa.array(language), pa.array(confidence.round(6)), pa.array(confidence < least)], names)
 
-    shared.text_batches(docs.sparkSession)
     return docs.select("doc_id", "text").mapInArrow(run, f"doc_id {dict(docs.dtypes)['doc_id']}, language string, confidence double, rejected boolean")
 
 
@@ -184,5 +188,4 @@ def keep_identified(docs: DataFrame, model: ByteCNN | None, least: float = LEAST
             keep = np.concatenate([classify(model, off, part)[1] >= least for _, _, off, part in textbuf.chunks(offsets, data)] or [np.zeros(0, bool)])
             yield batch.filter(pa.array(keep))
 
-    shared.text_batches(docs.sparkSession)
     return docs.mapInArrow(run, docs.schema)

@@ -7,11 +7,16 @@ A r with A_kd = tokens_d p_dk, meet the targets T:
 
     minimise 1/2 |A r - T|^2 subject to r >= 0, from r = 1,
 
-by projected gradient. A step moves r_d by p_d . s with one vector s a step, then
-clips at 0; s is the residual times the inverse of the sum of tokens_d p_d p_d'
-over the documents with r_d > 0, which is the gradient in a metric where the
-problem is well scaled. As a rate depends on the document's posterior and the
-steps alone, tasks replay the steps: each pass sums a few numbers a task, and no
+by projected gradient in the metric of the documents' tokens: a step moves r_d by
+p_d . s with s = eta (A r - T), then clips at 0, which in a diagonal metric is the
+projection. With M the sum of tokens_d p_d p_d' over the documents that are free
+(r_d > 0), eta = 1 / lambda_max(M) never raises the objective. Each pass over the
+documents tries that step and longer ones at once, multiples of it and steps
+(M + mu I)^-1 (A r - T), measures the objective after clipping of each, and takes the
+best: every step descends, whether the targets can be met or not. It ends when the
+targets are met (``CLOSE``), when ``STALLS`` passes in a row gain less than ``GAIN`` of
+the objective, or after ``PASSES``. As a rate depends on the document's posterior and
+the steps alone, tasks replay the steps: each pass sums a few numbers a task, and no
 rates are stored or sent. A document is then taken floor(r) times and once more
 with probability r - floor(r), decided by a hash of its id and text.
 
@@ -20,7 +25,8 @@ posteriors, totals and rates cover every document.
 
 Defined results: a null or empty text has no tokens and rate 1; without labels
 every document is of one domain and has the rate that meets its total; a domain
-without a target has weight 0; an empty table gives an empty result; repeated
+without a target has weight 0; targets that no rates meet get those that come
+closest, in the sense of the objective; an empty table gives an empty result; repeated
 rows get equal rates and equal decisions; ties can't occur; columns of any names
 are kept by ``mix``.
 """
@@ -33,12 +39,13 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import ArrayType, DoubleType, LongType, StructField, StructType
 
 from quillspan.llm import linear, shared, textbuf
 
 SAMPLE = 6000
 PREFIXES = (4,)
-PASSES, CLOSE = 25, 1e-6
+PASSES, CLOSE, GAIN, STALLS = 80, 1e-6, 1e-5, 3
 #: Shares of the tokens: high or low quality (q1, q0), clean or toxic (t0, t1).
 WEIGHTS = {"q1t0": 0.86, "q0t0": 0.08, "q1t1": 0.05, "q0t1": 0.01}
 
@@ -77,7 +84,6 @@ def collected(sample: DataFrame, features) -> tuple[list, np.ndarray, np.ndarray
 
 def fit_classifier(docs: DataFrame, labels: DataFrame) -> tuple[list[str], np.ndarray]:
     """Domains and weights from at most ``SAMPLE`` labelled documents."""
-    shared.text_batches(docs.sparkSession)
     domain = F.concat(F.lit("q"), F.col("quality"), F.lit("t"), F.col("toxic"))
     sample = sampled(docs, labels.where("quality IS NOT NULL AND toxic IS NOT NULL").select("doc_id", domain.alias("label")), ["label"], SAMPLE)
     label, bounds, feature = collected(sample, _features)
@@ -89,10 +95,10 @@ def fit_classifier(docs: DataFrame, labels: DataFrame) -> tuple[list[str], np.nd
     return domains, linear.fit(bounds, feature, target)
 
 
-def posteriors(docs: DataFrame, weights: np.ndarray, carry: list[str]) -> DataFrame:
-    """Columns ``carry``, ``tokens`` and ``posterior``. The weights go out once, as a broadcast."""
+def posteriors(docs: DataFrame, weights: np.ndarray, carry: list[str], names: tuple[str, str] = ("tokens", "posterior")) -> DataFrame:
+    """Columns ``carry`` and, by ``names``, tokens and posterior. The weights go out once, as a broadcast."""
     sent = docs.sparkSession.sparkContext.broadcast(weights)
-    names = [*carry, "tokens", "posterior"]
+    made = [*carry, *names]
 
     def run(batches):
         w = sent.value
@@ -102,10 +108,10 @@ def posteriors(docs: DataFrame, weights: np.ndarray, carry: list[str]) -> DataFr
                 p = linear.softmax(linear.scores(*_features(off, part), w))
                 tokens = -(-np.diff(off) // 4)
                 flat = pa.ListArray.from_arrays(pa.array(np.arange(0, p.size + 1, p.shape[1], dtype=np.int32)), pa.array(p.ravel()))
-                yield pa.RecordBatch.from_arrays([*(batch.column(i).slice(lo, hi - lo) for i in range(len(carry))), pa.array(tokens), flat], names)
+                yield pa.RecordBatch.from_arrays([*(batch.column(i).slice(lo, hi - lo) for i in range(len(carry))), pa.array(tokens), flat], made)
 
-    schema = ", ".join(f"`{c}` {dict(docs.dtypes)[c]}" for c in carry)
-    return docs.select(*carry, "text").mapInArrow(run, f"{schema}, tokens long, posterior array<double>")
+    schema = StructType([*(docs.schema[c] for c in carry), StructField(names[0], LongType()), StructField(names[1], ArrayType(DoubleType()))])
+    return docs.select(*carry, "text").mapInArrow(run, schema)
 
 
 def replay(posterior: np.ndarray, steps: list[np.ndarray]) -> np.ndarray:
@@ -120,43 +126,61 @@ def _matrix(column: pa.Array, k: int) -> np.ndarray:
     return column.flatten().to_numpy(zero_copy_only=False).reshape(-1, k)
 
 
+def _candidates(off: np.ndarray, metric: np.ndarray) -> list[np.ndarray]:
+    """Steps to try from the residual: the safe gradient step first, then longer ones."""
+    values, vectors = np.linalg.eigh(metric)
+    top = max(float(values[-1]), 1e-300)
+    along = vectors.T @ off
+    gradient = [off / top * 4.0**j for j in range(6)]
+    damped = [vectors @ (along / (np.maximum(values, 0) + top * mu)) * scale for mu in (1e-1, 1e-2, 1e-3, 1e-5, 1e-9) for scale in (1.0, 3.0)]
+    return gradient + damped
+
+
 def fit_rates(held: DataFrame, domains: list[str], weights: Mapping[str, float]) -> tuple[list[np.ndarray], np.ndarray, np.ndarray]:
-    """Steps, achieved totals and targets, from written posteriors."""
+    """Steps, achieved totals and targets, from written ``tokens, posterior``."""
     k = len(domains)
     steps: list[np.ndarray] = []
-    target = best = None
+    tries: list[np.ndarray] = [np.zeros(k)]
+    target = value = None
+    off, stalled, width = np.zeros(k), 0, k + k * k + 1
     for _ in range(PASSES):
-        now = list(steps)
+        now, each = list(steps), list(tries)
 
-        def run(batches, now=now):
-            total = np.zeros(k + k * k + 1)
+        def run(batches, now=now, each=each):
+            total = np.zeros((len(each), width))
             for batch in batches:
                 t, p = batch.column(0).to_numpy(zero_copy_only=False).astype(np.float64), _matrix(batch.column(1), k)
-                r = replay(p, now)
-                total[:k] += (t * r) @ p
-                free = p[r > 0]
-                total[k:-1] += ((t[r > 0][:, None] * free).T @ free).ravel()
-                total[-1] += t.sum()
-            yield pa.RecordBatch.from_arrays([pa.array(np.arange(len(total))), pa.array(total)], ["i", "x"])
+                start = replay(p, now)
+                for i, s in enumerate(each):
+                    r = np.maximum(0, start - p @ s)
+                    total[i, :k] += (t * r) @ p
+                    free = r > 0
+                    total[i, k:-1] += ((t * free)[:, None] * p).T.dot(p).ravel()
+                    total[i, -1] += t.sum()
+            yield pa.RecordBatch.from_arrays([pa.array(np.arange(total.size)), pa.array(total.ravel())], ["i", "x"])
 
         rows = held.select("tokens", "posterior").mapInArrow(run, "i long, x double").groupBy("i").agg(F.sum("x").alias("x")).collect()
-        sums = np.zeros(k + k * k + 1)
+        sums = np.zeros(len(each) * width)
         for row in rows:
             sums[row["i"]] = row["x"]
-        got, every = sums[:k], sums[-1]
+        sums = sums.reshape(len(each), width)
+        every = float(sums[0, -1])
         if target is None:
             share = np.array([max(0.0, weights.get(d, 0.0)) for d in domains])
             target = every * (share / share.sum() if share.sum() > 0 else np.full(k, 1 / k))
-        off = got - target
-        if best is None or np.abs(off).sum() < best[1]:
-            best = list(steps), np.abs(off).sum(), got
-        elif len(steps) > len(best[0]) + 3:
+        values = ((sums[:, :k] - target) ** 2).sum(axis=1) / 2
+        best = int(values.argmin())
+        if value is not None and values[best] >= value:
             break
-        if not every or np.abs(off).max() <= CLOSE * every:
+        stalled = stalled + 1 if value is not None and value - values[best] < GAIN * value else 0
+        value, got = float(values[best]), sums[best, :k]
+        if len(each) > 1:
+            steps.append(each[best])
+        off = got - target
+        if not every or np.abs(off).max() <= CLOSE * every or stalled >= STALLS:
             break
-        metric = sums[k:-1].reshape(k, k)
-        steps.append(np.linalg.lstsq(metric + 1e-9 * every * np.eye(k), off, rcond=None)[0])
-    return best[0], best[2], target
+        tries = _candidates(off, sums[best, k:-1].reshape(k, k))
+    return steps, got, target
 
 
 def rates(docs: DataFrame, labels: DataFrame, weights: Mapping[str, float] = WEIGHTS) -> DataFrame:
@@ -186,24 +210,20 @@ def _copies(rate: np.ndarray, luck: np.ndarray) -> np.ndarray:
 
 
 def mix(docs: DataFrame, labels: DataFrame, weights: Mapping[str, float] = WEIGHTS) -> DataFrame:
-    """``docs`` with each row taken as often as its rate says, all columns as they are."""
+    """``docs`` with each row taken as often as its rate says, all columns as they are. Texts are classified once; the rows are written with their posteriors."""
     domains, w = fit_classifier(docs, labels)
-    held = shared.table(posteriors(docs, w, ["doc_id"]), "posteriors")
-    steps, _, _ = fit_rates(held, domains, weights)
-    sent = docs.sparkSession.sparkContext.broadcast(w)
-    luck = shared.spare(docs.columns, "luck")
-    at = docs.columns.index("text")
+    columns = docs.columns
+    luck = shared.spare(columns, "luck")
+    tokens = shared.spare([*columns, luck], "tokens")
+    posterior = shared.spare([*columns, luck, tokens], "posterior")
+    held = shared.table(posteriors(docs.withColumn(luck, _luck(docs)), w, [*columns, luck], (tokens, posterior)), "posteriors")
+    steps, _, _ = fit_rates(held.select(F.col(tokens).alias("tokens"), F.col(posterior).alias("posterior")), domains, weights)
+    k, n = len(domains), len(columns)
 
     def run(batches):
         for batch in batches:
-            offsets, data = textbuf.raw(batch.column(at))
-            u = batch.column(batch.num_columns - 1).to_numpy()
-            take = []
-            for lo, hi, off, part in textbuf.chunks(offsets, data):
-                r = replay(linear.softmax(linear.scores(*_features(off, part), sent.value)), steps)
-                take.append(_copies(np.where(np.diff(off) > 0, r, 1.0), u[lo:hi]))
-            times = np.concatenate(take) if take else np.zeros(0, np.int64)
-            out = batch.take(pa.array(np.repeat(np.arange(batch.num_rows), times)))
-            yield out.select(range(batch.num_columns - 1))
+            t = batch.column(n + 1).to_numpy()
+            times = _copies(np.where(t > 0, replay(_matrix(batch.column(n + 2), k), steps), 1.0), batch.column(n).to_numpy())
+            yield batch.select(range(n)).take(pa.array(np.repeat(np.arange(batch.num_rows), times)))
 
-    return docs.withColumn(luck, _luck(docs)).mapInArrow(run, docs.schema)
+    return held.mapInArrow(run, docs.schema)

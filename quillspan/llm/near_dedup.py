@@ -213,7 +213,6 @@ def _edges(docs: DataFrame, key: str, signed: DataFrame, threshold: float) -> Da
 
 def near_duplicate_groups(docs: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
     """``doc_id, group_id, group_size`` of every row in a group of two or more; group_id is the smallest doc_id."""
-    shared.text_batches(docs.sparkSession)
     docs, key = shared.identified(docs)
     grouped = _grouped(docs, key, threshold)
     if key != "doc_id":
@@ -235,7 +234,6 @@ def _grouped(docs: DataFrame, key: str, threshold: float) -> DataFrame:
 
 def drop_near_duplicates(docs: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
     """``docs`` with one row of each group, all columns kept."""
-    shared.text_batches(docs.sparkSession)
     columns = docs.columns
     docs, key = shared.identified(docs)
     grouped = _grouped(docs, key, threshold)

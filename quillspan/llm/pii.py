@@ -19,7 +19,9 @@ candidate of every text.
 
 Defined results: null and empty texts have no spans; equal texts have equal
 spans, repeated rows each their own; a table without candidates, or an empty one,
-gives an empty result; overlapping candidates can't occur; ties go to the kind
+gives an empty result; a mail address has at most 64 characters before its @, as the
+standard says; labelers see ``BEFORE`` characters before a span and ``AFTER`` behind it;
+overlapping candidates can't occur; ties go to the kind
 first in ``KINDS``; a null ``doc_id`` is kept; further columns are ignored.
 """
 
@@ -44,6 +46,8 @@ DIM = 1 << 14
 #: Lowest posterior that makes a span of a kind.
 LEAST = 0.5
 ROUNDS = 60
+#: Characters around a span that labelers and features see.
+BEFORE, AFTER = 40, 10
 
 CANDIDATE = re.compile(
     r"""[\w.+%-]{1,64}@(?:[\w-]{1,63}\.)+[A-Za-z]{2,24}"""
@@ -57,7 +61,7 @@ CANDIDATE = re.compile(
     r"""|(?<!\d)0\d{1,4}(?:(?:[ .-]\d{2,4}){2,4}|[ /-]\d{5,8})(?!\d|\.\d)"""
     r"""|\(0\d{1,4}\)[ .-]?\d{2,8}(?:[ .-]?\d{2,4}){0,3}(?!\d|\.\d)"""
     r"""|(?<!\d)[6-9]\d\d(?:[ .-]\d\d){3}(?!\d|\.\d)"""
-    r"""|[A-Za-z0-9_/+=.-]*\d[A-Za-z0-9_/+=.-]*"""
+    r"""|(?<![A-Za-z_/+=.-])[A-Za-z_/+=.-]*+\d[A-Za-z0-9_/+=.-]*+"""  # begins only where a run of letters does: linear in the text
 )
 #: What a secret is assigned to, and the secret.
 _SECRET_NAME = r"(?:password|passwd|passphrase|passcode|pwd|secret|token|bearer|credentials?|(?:api|access|secret|private|auth)[_-]?key)"
@@ -300,7 +304,7 @@ def _spans(docs: DataFrame) -> DataFrame:
             held: list[tuple] = []
             for i, text in enumerate(batch.column(1).to_pylist()):
                 for lo, hi in candidates(text) if text else ():
-                    s, before, after = text[lo:hi], text[max(0, lo - 40) : lo], text[hi : hi + 10]
+                    s, before, after = text[lo:hi], text[max(0, lo - BEFORE) : lo], text[hi : hi + AFTER]
                     held.append((i, lo, hi, votes(s, before, after), features(s, before, after)))
             if held:
                 i, lo, hi, v, f = zip(*held, strict=True)
@@ -323,7 +327,6 @@ def _training(spans: DataFrame, patterns: np.ndarray, posterior: np.ndarray) ->
 def private_spans(docs: DataFrame, least: float = LEAST) -> DataFrame:
     """``doc_id, span_start, span_end, kind, probability`` of every span that isn't ``none``."""
     spark = docs.sparkSession
-    shared.text_batches(spark)
     spans = shared.table(_spans(docs), "spans")
     seen = spans.groupBy("votes").count().toArrow().to_pydict()  # at most (kinds + 1) ** labelers patterns, of which few occur
     schema = f"doc_id {dict(docs.dtypes)['doc_id']}, span_start int, span_end int, kind string, probability double"

@@ -1,4 +1,8 @@
-"""Intermediate tables, parallelism and Arrow batch sizes shared by the operators."""
+"""Intermediate tables and parallelism shared by the operators.
+
+Arrow batches of whole texts are bounded by ``spark.sql.execution.arrow.maxBytesPerBatch``
+(64 MB unless set), and the operators cut them into chunks: no session setting is touched.
+"""
 
 from __future__ import annotations
 
@@ -10,31 +14,53 @@ from pyspark.sql import functions as F
 
 #: Rows of a two-column table that may be broadcast; beyond it joins shuffle.
 BROADCAST_ROWS = 1_000_000
-#: Records of one Arrow batch of whole texts; a batch has to fit a worker.
-TEXT_BATCH = 1_000
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """Folder that all executors reach, from ``spark.checkpoint.dir``; a local one only where that is unset."""
+    """Folder that all executors reach, from ``spark.checkpoint.dir``. Where that is unset a local one will do in local mode only; on a cluster it is an error."""
     found = spark.conf.get("spark.checkpoint.dir", None)
     if not found:
+        if not (spark.sparkContext.master or "").startswith("local") or spark.sparkContext.master.startswith("local-cluster"):
+            raise ValueError("set spark.checkpoint.dir to a folder that all executors reach: intermediate tables go there")
         found = "file://" + tempfile.mkdtemp(prefix="quillspan-")
         spark.conf.set("spark.checkpoint.dir", found)
     return found.rstrip("/")
 
 
+_WRITTEN: list[str] = []
+
+
 def table(df: DataFrame, name: str) -> DataFrame:
     """Write ``df`` to the shared folder and read it again: lineage ends there and a lost executor loses nothing."""
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
     df.write.parquet(path)
+    _WRITTEN.append(path)
     return spark.read.schema(df.schema).parquet(path)
 
 
-def text_batches(spark: SparkSession) -> None:
-    """Bound the Arrow batches by bytes as well as records, for tables of long texts."""
-    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(TEXT_BATCH))
-    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(16 << 20))
+def delete(spark: SparkSession, path: str) -> None:
+    """Delete a folder on whatever file system it is."""
+    jvm = spark.sparkContext._jvm
+    at = jvm.org.apache.hadoop.fs.Path(path)
+    at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(at, True)
+
+
+def discard(df: DataFrame) -> None:
+    """Delete a table of ``table`` that nothing reads any more."""
+    for path in {f.rsplit("/", 1)[0] for f in df.inputFiles()}:
+        known = [w for w in _WRITTEN if path.endswith(w.rsplit("/", 1)[1])]
+        for w in known:
+            delete(df.sparkSession, w)
+            _WRITTEN.remove(w)
+
+
+def sweep(spark: SparkSession) -> int:
+    """Delete all intermediate tables of this process, once results made from them are written or collected; the number deleted."""
+    gone = len(_WRITTEN)
+    while _WRITTEN:
+        delete(spark, _WRITTEN.pop())
+    return gone
 
 
 def partitions(spark: SparkSession) -> int:
@@ -87,5 +113,6 @@ def components(edges: DataFrame) -> DataFrame:
         # small star: of the smaller neighbours, all and the node itself hang on the least
         down = large.groupBy("a").agg(F.min("b").alias("least"))
         small_star = large.join(down, "a").select(F.explode(F.array(F.struct("a", F.col("least").alias("b")), F.struct(F.col("b").alias("a"), F.col("least").alias("b")))).alias("e")).select("e.a", "e.b").where("a <> b").distinct()
-        now = table(small_star, "edges")
+        now, gone = table(small_star, "edges"), now
+        discard(gone)
     return now.groupBy("a").agg(F.min("b").alias("label")).select(F.col("a").alias("node"), "label").unionByName(now.select(F.col("b").alias("node"), F.col("b").alias("label")).distinct())

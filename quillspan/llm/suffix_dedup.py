@@ -252,7 +252,6 @@ def _families(sent: DataFrame) -> DataFrame:
 def repeated_passages(docs: DataFrame) -> DataFrame:
     """``doc_id, span_start, span_end, words, other_doc_id``: words (from, to before) of every stretch of long matches."""
     spark = docs.sparkSession
-    shared.text_batches(spark)
     docs = docs.select("doc_id", "text")
     if dict(docs.dtypes)["doc_id"] in ("bigint", "int", "smallint", "tinyint"):
         docs, key = shared.identified(docs)

@@ -605,7 +605,6 @@ def learn(docs: DataFrame, labels: DataFrame, costs: np.ndarray) -> Classifier |
 def toxicity(docs: DataFrame, labels: DataFrame) -> DataFrame:
     """``doc_id, score, toxic, words`` of every row; words: the restored words that speak for toxicity, sorted."""
     spark = docs.sparkSession
-    shared.text_batches(spark)
     costs = language_model(count_grams(docs))
     sent = spark.sparkContext.broadcast((costs, learn(docs, labels, costs)))
 

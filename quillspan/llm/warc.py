@@ -5,17 +5,25 @@ dictionary of all later frames, raw or itself compressed. Each further frame is
 one record: version line, headers, an empty line, ``Content-Length`` bytes and
 two line ends. The reader decodes frame by frame and checks all of that.
 
+Frames are delimited by their block headers before anything is decoded, and decoded
+in steps of ``STEP`` bytes, so that a small frame that swells costs no more than the
+record limit: one of over ``MOST_BYTES`` is an error (a binary cell ends at 2 GiB).
+
 Defined results: a record that breaks a rule comes back with ``error`` set and
 whatever could be read; after a frame that can't be decoded, reading goes on at
 the next frame if its end is known, otherwise the rest of that archive is one
 row with an error; an archive without dictionary is read without one; an empty
-or null archive has no records; skippable frames elsewhere are passed over. The
-writer skips pages with a null html or url; repeated pages are repeated records.
+or null archive has no records; skippable frames elsewhere are passed over, but one
+that is cut off is an error. The writer skips pages with a null html or url, writes
+control characters and outer blanks of a url as %XX, as header lines can't hold them, and
+repeated pages are repeated records; further columns are ignored.
 """
 
 from __future__ import annotations
 
+import base64
 import hashlib
+import re
 import struct
 from collections.abc import Iterator
 
@@ -31,11 +39,14 @@ ZSTD_MAGIC = 0xFD2FB528
 #: Sample from which the writer trains its dictionary: pages and bytes of each.
 DICTIONARY_PAGES, DICTIONARY_PAGE_BYTES, DICTIONARY_BYTES = 2000, 16_384, 32_768
 REQUIRED = ("warc-type", "warc-record-id", "warc-date", "content-length")
-#: A record that decodes to more is refused rather than held in memory.
-MOST_BYTES = 1 << 30
+#: A record that decodes to more is refused rather than held in memory; bytes decoded at a time; largest dictionary.
+MOST_BYTES, STEP, MOST_DICTIONARY = 1 << 30, 1 << 20, 64 << 20
 RECORD = "archive string, number int, frame_offset long, frame_length long, version string, warc_type string, record_id string, target_uri string, warc_date string, content_length long, payload binary, digest_ok boolean, error string"
 
 
+_BLANK = re.compile(r"[\x00-\x20\x7f\x85\u2028\u2029]")
+
+
 def frame(record: bytes, compressor: zstandard.ZstdCompressor) -> bytes:
     return compressor.compress(record)
 
@@ -60,7 +71,7 @@ def leading_dictionary(data: memoryview) -> tuple[bytes | None, int]:
         raise ValueError("the dictionary frame is cut off")
     body = bytes(data[8 : 8 + size])
     if len(body) >= 4 and struct.unpack_from("<I", body)[0] == ZSTD_MAGIC:
-        body = zstandard.ZstdDecompressor().decompress(body, max_output_size=64 << 20)
+        body = zstandard.ZstdDecompressor().decompress(body, max_output_size=MOST_DICTIONARY)
     return body, 8 + size
 
 
@@ -102,15 +113,35 @@ def parse(whole: bytes) -> dict:
     algorithm, _, want = headers.get("warc-block-digest", "").partition(":")
     if want and algorithm.lower() == "sha1":
         h = hashlib.sha1(payload)
-        import base64
-
         out["digest_ok"] = want.lower() in (h.hexdigest(), base64.b32encode(h.digest()).decode().lower())
         if not out["digest_ok"]:
             out["error"] = out["error"] or "the block digest differs"
     return out
 
 
-def records(data: bytes) -> Iterator[dict]:
+def frame_end(view: memoryview, at: int) -> int:
+    """Where the frame at ``at`` ends, by its header and block headers; ValueError if it doesn't within the archive."""
+    if at + 5 > len(view) or struct.unpack_from("<I", view, at)[0] != ZSTD_MAGIC:
+        raise ValueError("not a frame" if at + 5 <= len(view) else "the frame is cut off")
+    kind = view[at + 4]
+    one_segment, size_flag = kind >> 5 & 1, kind >> 6
+    end = at + 5 + (not one_segment) + (0, 1, 2, 4)[kind & 3] + ((1 if one_segment else 0), 2, 4, 8)[size_flag]
+    last = False
+    while not last:
+        if end + 3 > len(view):
+            raise ValueError("the frame is cut off")
+        head = view[end] | view[end + 1] << 8 | view[end + 2] << 16
+        last, form, size = bool(head & 1), head >> 1 & 3, head >> 3
+        if form == 3:
+            raise ValueError("a block of reserved type")
+        end += 3 + (1 if form == 1 else size)
+    end += 4 * (kind >> 2 & 1)  # the checksum
+    if end > len(view):
+        raise ValueError("the frame is cut off")
+    return end
+
+
+def records(data: bytes, most: int = MOST_BYTES) -> Iterator[dict]:
     """Every record of one archive in order, with its frame's place."""
     view = memoryview(data)
     try:
@@ -124,26 +155,26 @@ def records(data: bytes) -> Iterator[dict]:
     while at < len(view):
         magic = struct.unpack_from("<I", view, at)[0] if at + 8 <= len(view) else 0
         if magic & 0xFFFFFFF0 == 0x184D2A50:
-            at += 8 + struct.unpack_from("<I", view, at + 4)[0]
+            end = at + 8 + struct.unpack_from("<I", view, at + 4)[0]
+            if end > len(view):
+                yield {"number": number, "frame_offset": at, "frame_length": len(view) - at, "error": "frame: the skippable frame is cut off"}
+            at = end
             continue
         found: dict = {"number": number, "frame_offset": at}
+        end = None
         try:
-            one = decoder.decompressobj()
-            parts, size, end = [], 0, at
-            while not one.eof and end < len(view):
-                block = view[end : end + (1 << 20)]
-                parts.append(one.decompress(block))
-                end += len(block)
-                size += len(parts[-1])
-                if size > MOST_BYTES:
-                    raise ValueError(f"a record of over {MOST_BYTES} bytes")
-            if not one.eof:
-                raise ValueError("the frame is cut off")
-            end -= len(one.unused_data)
+            end = frame_end(view, at)
+            parts, size = [], 0
+            with decoder.stream_reader(view[at:end], read_across_frames=False) as reader:
+                while part := reader.read(STEP):
+                    parts.append(part)
+                    size += len(part)
+                    if size > most:
+                        raise ValueError(f"a record of over {most} bytes")
             found |= parse(b"".join(parts))
         except (ValueError, zstandard.ZstdError) as e:
             found["error"] = f"frame: {e}"
-            end = next_frame(data, at)
+            end = end or next_frame(data, at)
         found["frame_length"] = end - at
         yield found
         number += 1
@@ -180,8 +211,8 @@ def read_archives(archives: DataFrame) -> DataFrame:
 
 
 def train_dictionary(pages: DataFrame) -> bytes:
-    """From a bounded sample of pages (the constants above); empty if there are too few."""
-    rows = pages.where(F.col("html").isNotNull()).select(F.substring("html", 1, DICTIONARY_PAGE_BYTES)).limit(DICTIONARY_PAGES).collect()
+    """From a bounded sample of pages (the constants above), the first by hash; empty if there are too few. It only makes archives smaller."""
+    rows = pages.where(F.col("html").isNotNull()).select(F.substring("html", 1, DICTIONARY_PAGE_BYTES), F.xxhash64("html").alias("h")).orderBy("h").limit(DICTIONARY_PAGES).collect()
     sample = [r[0].encode() for r in rows if r[0]]
     try:
         return zstandard.train_dictionary(DICTIONARY_BYTES, sample).as_bytes()
@@ -211,7 +242,7 @@ def write_archives(pages: DataFrame, dictionary: bytes, most: int = 64 << 20) ->
             for page_id, url, html in zip(*(batch.column(i).to_pylist() for i in range(3)), strict=True):
                 payload = html.encode()
                 name = hashlib.md5(f"{page_id}\x1f{url}".encode()).hexdigest()
-                out.append(frame(record("resource", url.replace("\r", "").replace("\n", ""), "2024-01-01T00:00:00Z", f"{name[:8]}-{name[8:12]}-{name[12:16]}-{name[16:20]}-{name[20:]}", payload), compressor))
+                out.append(frame(record("resource", _BLANK.sub(lambda m: "".join(f"%{b:02X}" for b in m.group().encode()), url), "2024-01-01T00:00:00Z", f"{name[:8]}-{name[8:12]}-{name[12:16]}-{name[16:20]}-{name[20:]}", payload), compressor))
                 size += len(payload)
                 if size >= most:
                     yield archive()
@@ -224,5 +255,4 @@ def write_archives(pages: DataFrame, dictionary: bytes, most: int = 64 << 20) ->
 
 def round_trip(pages: DataFrame) -> DataFrame:
     """Write ``pages`` as archives into the shared folder, then read every record back."""
-    shared.text_batches(pages.sparkSession)
     return read_archives(shared.table(write_archives(pages, train_dictionary(pages)), "archives"))

@@ -377,6 +377,44 @@ def test_rates_meet_the_targets(spark):
     assert mixed.columns == d.columns and mixed.count() == sum(x["copies"] for x in out)
 
 
+def dense_rates(t, p, want, rounds=40_000):
+    """Accelerated projected gradient on the whole matrix, restarted where it doesn't descend; rates and objective."""
+    a = t[:, None] * p
+    scale = t.clip(1)  # the metric of the operator: rates move by the posterior
+    step = 1 / np.linalg.eigvalsh((scale[:, None] * p).T @ p)[-1]
+    objective = lambda r: ((r @ a - want) ** 2).sum() / 2
+    rate = ahead = np.ones(len(t))
+    momentum, best = 1.0, objective(rate)
+    for _ in range(rounds):
+        new = np.maximum(0, ahead - step * (p @ (ahead @ a - want)))
+        if (now := objective(new)) > best:
+            ahead, momentum = rate, 1.0
+            continue
+        following = (1 + np.sqrt(1 + 4 * momentum**2)) / 2
+        ahead = new + (momentum - 1) / following * (new - rate)
+        rate, momentum, best = new, following, now
+    return rate, best
+
+
+@pytest.mark.parametrize(("seed", "domains", "sharp"), [(1, 2, 1.0), (2, 4, 1.0), (3, 4, 0.5), (4, 3, 3.0), (5, 4, 8.0)])
+def test_rates_equal_dense_projected_gradient(spark, seed, domains, sharp):
+    """Targets that posteriors far from certain can't meet, and some they can: the objective is the dense one's."""
+    r = np.random.default_rng(seed)
+    logit = sharp * r.normal(size=(400, domains))
+    p = np.exp(logit) / np.exp(logit).sum(axis=1, keepdims=True)
+    t = r.integers(1, 500, 400)
+    names = [f"d{i}" for i in range(domains)]
+    share = dict(zip(names, [0.97] + [0.03 / (domains - 1)] * (domains - 1), strict=True))
+    held = spark.createDataFrame([(int(n), q.tolist()) for n, q in zip(t, p, strict=True)], "tokens long, posterior array<double>").coalesce(2).cache()
+    steps, got, want = mixing.fit_rates(held, names, share)
+    rate = mixing.replay(p, steps)
+    assert rate.min() >= 0 and np.allclose((t * rate) @ p, got)
+    _, best = dense_rates(t.astype(float), p, want)
+    mine = ((got - want) ** 2).sum() / 2
+    start = ((t @ p - want) ** 2).sum() / 2
+    assert mine - best <= 1e-4 * start
+
+
 def test_mixing_of_awkward_tables(spark):
     d = awkward(spark)
     labels = spark.createDataFrame([(1, 1, 0), (3, 0, 1), (None, 1, 1), (5, None, 0)], LABELS)
