@@ -50,7 +50,7 @@ ROUNDS = 60
 BEFORE, AFTER = 40, 10
 
 CANDIDATE = re.compile(
-    r"""[\w.+%-]{1,64}@(?:[\w-]{1,63}\.)+[A-Za-z]{2,24}"""
+    r"""(?<![\w.+%-])[\w.+%-]{1,64}+@(?:[\w-]{1,63}\.)+[A-Za-z]{2,24}"""
     r"""|\b[A-Z]{2}\d{2}(?:[ ]?[A-Z0-9]{4}){3,7}(?:[ ]?[A-Z0-9]{1,3})?\b"""
     r"""|(?<!\d)(?:\d{4}(?:[ -]\d{4}){3}(?:[ -]\d{3})?|\d{4}[ -]\d{6}[ -]\d{4,5})(?!\d)"""
     r"""|(?<![\w:])(?=[A-Fa-f:]{0,39}\d)(?:(?:[0-9A-Fa-f]{1,4}:){7}[0-9A-Fa-f]{1,4}|(?:[0-9A-Fa-f]{1,4}:){1,6}(?::[0-9A-Fa-f]{1,4}){1,6}|::(?:[0-9A-Fa-f]{1,4}:){0,6}[0-9A-Fa-f]{1,4})(?![\w:])"""

@@ -44,7 +44,7 @@ MOST_BYTES, STEP, MOST_DICTIONARY = 1 << 30, 1 << 20, 64 << 20
 RECORD = "archive string, number int, frame_offset long, frame_length long, version string, warc_type string, record_id string, target_uri string, warc_date string, content_length long, payload binary, digest_ok boolean, error string"
 
 
-_BLANK = re.compile(r"[\x00-\x20\x7f\x85\u2028\u2029]")
+_BLANK = re.compile(r"[\x00-\x1f\x7f\x85  ]|^ +| +\Z")
 
 
 def frame(record: bytes, compressor: zstandard.ZstdCompressor) -> bytes:

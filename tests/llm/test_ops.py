@@ -272,9 +272,9 @@ def test_private_spans_of_awkward_tables(spark):
     assert pii.private_spans(d).where("kind = 'email'").count() == 3000
     assert pii.private_spans(d.limit(0)).count() == 0
     began = time.monotonic()
-    for long in ("1" * 100_000, "1-" * 50_000, "1." * 50_000, "a@" * 50_000, "AB12 " * 20_000, "x1=" * 30_000):
+    for long in ("1" * 100_000, "1-" * 50_000, "1." * 50_000, "a@" * 50_000, "AB12 " * 20_000, "x1=" * 30_000, "a" * 1_000_000 + " 1", "a_" * 500_000 + " @", "A1b" * 100_000, "1" + "a" * 300_000):
         list(pii.candidates(long))
-    assert time.monotonic() - began < 30
+    assert time.monotonic() - began < 10
 
 
 def test_labelers():
@@ -428,9 +428,9 @@ def test_mixing_of_awkward_tables(spark):
 
 
 def test_warc_round_trip(spark):
-    pages = spark.createDataFrame([(1, "http://a/1", "<p>x</p>" * 50), (2, "http://a/2", ""), (3, None, "x"), (4, "http://a/4", None), (5, "http://ä/5", "é" * 100_000), (1, "http://a/1", "<p>x</p>" * 50)], "page_id long, url string, html string")
+    pages = spark.createDataFrame([(1, "http://a/1", "<p>x</p>" * 50), (2, "http://a/2", ""), (3, None, "x"), (4, "http://a/4", None), (5, "http://ä/5", "é" * 100_000), (6, "http://a/\r\nX: y", "z"), (1, "http://a/1", "<p>x</p>" * 50)], "page_id long, url string, html string")
     got = warc.round_trip(pages).collect()
-    assert Counter((r["target_uri"], r["payload"].decode()) for r in got) == Counter((p["url"], p["html"]) for p in pages.collect() if p["url"] and p["html"] is not None)
+    assert Counter((r["target_uri"], r["payload"].decode()) for r in got) == Counter((p["url"].replace("\r\n", "%0D%0A"), p["html"]) for p in pages.collect() if p["url"] and p["html"] is not None)
     assert all(r["error"] is None and r["digest_ok"] and r["content_length"] == len(r["payload"]) for r in got)
     assert warc.round_trip(pages.limit(0)).count() == 0
 
@@ -461,6 +461,16 @@ def test_warc_rules():
     broken = list(warc.records(warc.dictionary_frame(dictionary) + good[0] + good[1][:6] + b"\xff" * 20 + good[2]))
     assert broken[0]["error"] is None and broken[1]["error"] and broken[-1]["error"] is None
     assert "dictionary" in next(warc.records(struct.pack("<II", warc.DICTIONARY_MAGIC, 99) + b"x"))["error"]
+    assert "skippable" in list(warc.records(warc.dictionary_frame(dictionary) + good[0] + struct.pack("<II", 0x184D2A51, 99) + b"x"))[-1]["error"]
+    plain = zstandard.ZstdCompressor(write_checksum=True, write_content_size=False)
+    for size in (0, 1, 300_000, 3_000_000):  # with a checksum, without a size, of several blocks
+        whole = warc.record("resource", "http://x", "2024-01-01T00:00:00Z", "0" * 8, np.random.default_rng(size).integers(0, 255, size).astype(np.uint8).tobytes())
+        pieces = plain.compressobj()
+        packed = pieces.compress(whole) + pieces.flush()
+        assert warc.frame_end(memoryview(packed + b"rest"), 0) == len(packed)
+        assert [f["error"] for f in warc.records(packed * 2)] == [None, None]
+    (swollen,) = warc.records(zstandard.ZstdCompressor().compress(bytes(50_000_000)), most=10_000_000)
+    assert "a record of over" in swollen["error"]
     assert list(warc.records(b"")) == []
 
 
@@ -603,30 +613,84 @@ def brute_spans(texts, n=suffix_dedup.LONG):
     return out
 
 
-def test_repeated_passages_match_brute_force(spark):
+def passages():
     passage, other = words(70, 999), words(51, 998)
-    texts = [words(90, 1) + " " + passage + " " + words(40, 2), passage, words(30, 3) + " " + passage + " " + other, other + " " + words(60, 4), words(49, 5), words(49, 5), words(50, 6), words(50, 6), "la " * 300, words(80, 7) * 1, (words(60, 8) + " ") * 3, None, "", "la " * 70]
-    got = {(r["doc_id"], r["span_start"], r["span_end"]) for r in suffix_dedup.repeated_passages(docs(spark, *texts)).collect()}
-    assert got == brute_spans(texts)
+    return [words(90, 1) + " " + passage + " " + words(40, 2), passage, words(30, 3) + " " + passage + " " + other, other + " " + words(60, 4), words(49, 5), words(49, 5), words(50, 6), words(50, 6), "la " * 300, words(80, 7) * 1, (words(60, 8) + " ") * 3, None, "", "la " * 70, words(230, 9), words(20, 10) + " " + words(230, 9), words(60, 8)]
 
 
-def test_family_levels_stay_logarithmic_and_exact(monkeypatch):
+@pytest.mark.parametrize("long", [20, 50, 200])
+def test_repeated_passages_match_brute_force(spark, long):
+    texts = passages()
+    got = {(r["doc_id"], r["span_start"], r["span_end"]) for r in suffix_dedup.repeated_passages(docs(spark, *texts), long).collect()}
+    assert got == brute_spans(texts, long)
+
+
+def test_hot_anchors_match_brute_force(spark, monkeypatch):
+    texts = passages()
+    want = sorted(map(tuple, suffix_dedup.repeated_passages(docs(spark, *texts)).collect()))
+    monkeypatch.setattr(suffix_dedup, "HOT", 2)
+    assert sorted(map(tuple, suffix_dedup.repeated_passages(docs(spark, *texts)).collect())) == want
+
+
+@pytest.mark.parametrize("long", [20, 50])
+def test_batches_added_to_a_stored_index_match_brute_force(spark, tmp_path, long):
+    texts = passages()
+    for k in range(0, len(texts), 5):
+        index = suffix_dedup.PassageIndex(spark, f"file://{tmp_path}/index", shards=3, long=long)
+        part = [t for t in texts[k : k + 5]]
+        index.add(docs(spark, *part, ids=list(range(k, k + len(part)))))
+        got = {(r["doc_id"], r["span_start"], r["span_end"]) for r in index.spans().collect()}
+        assert got == brute_spans(texts[: k + 5], long), k
+        sizes = defaultdict(list)
+        for r in index.levels().select("shard", "size").collect():
+            sizes[r["shard"]].append(r["size"])
+        assert all(a >= 2 * b for v in sizes.values() for a, b in zip(sorted(v)[::-1], sorted(v)[-2::-1], strict=False))
+
+
+def test_suffix_order_and_places_match_brute_force():
+    r = np.random.default_rng(7)
+
+    def windows(k):
+        n = r.integers(1, 5, k)
+        text = [r.integers(1, 4, m + 5).astype(np.uint32) for m in n]
+        return suffix_dedup.Level.of(r.integers(0, 6, k), np.zeros(k, np.int64), n, np.concatenate(text), 6)
+
+    def seen(v):
+        return [tuple(v.text[a:e].tolist()) for a, e in zip(v.at, v.end, strict=True)]
+
+    def agree(x, y):
+        return next((i for i, (p, q) in enumerate(zip(x, y, strict=False)) if p != q), min(len(x), len(y)))
+
+    for _ in range(20):
+        x, y = windows(int(r.integers(1, 30))), windows(int(r.integers(1, 30)))
+        for v in (x, y):
+            assert seen(v) == sorted(seen(v)) and v.lcp[1:].tolist() == [agree(p, q) for p, q in zip(seen(v), seen(v)[1:], strict=False)]
+        place, left, right = x.locate(y)
+        both = seen(x)
+        for s, at, lo, hi in zip(seen(y), place, left, right, strict=True):
+            assert at == sum(t <= s for t in both)
+            assert lo == (agree(both[at - 1], s) if at else 0) and hi == (agree(both[at], s) if at < len(both) else 0)
+        merged = x.merge(y)
+        assert seen(merged) == sorted(seen(x) + seen(y)) and merged.lcp[1:].tolist() == [agree(p, q) for p, q in zip(seen(merged), seen(merged)[1:], strict=False)]
+
+
+def test_family_levels_stay_logarithmic_and_exact():
     r = np.random.default_rng(2)
-    monkeypatch.setattr(suffix_dedup, "BATCH", 16)
-    name = r.integers(0, 300, 2000).astype(np.uint64)
-    check, doc, word = name * np.uint64(7), r.integers(0, 50, 2000), np.arange(2000, dtype=np.int32) * 10
-    family = suffix_dedup.Family()
-    for k in range(0, 2000, 40):
-        s = slice(k, k + 40)
-        family.add(suffix_dedup.Level.of(name[s], check[s], doc[s], word[s]))
-        assert len(family.levels) <= 2 + np.log2(1 + k / 40)
+    family, held = suffix_dedup.Family(long=4), []
+    for k in range(60):
+        n = r.integers(1, 4, 12)
+        text = [r.integers(1, 5, m + 3).astype(np.uint32) for m in n]
+        doc = r.integers(0, 50, 12)
+        word = np.arange(12, dtype=np.int64) * 10 + 1000 * k
+        family.add(suffix_dedup.Level.of(doc, word, n, np.concatenate(text), 4))
+        held += [(tuple(t[i : i + 4].tolist()), int(d), int(w) + i) for t, d, w, m in zip(text, doc, word, n, strict=True) for i in range(m)]
+        assert len(family.levels) <= 2 + np.log2(1 + k)
         assert all(len(a) >= 2 * len(b) for a, b in zip(family.levels, family.levels[1:], strict=False))
-    got = dict(zip(family.matches()[1].tolist(), family.matches()[3].tolist(), strict=True))
-    want = {}
-    for i in range(2000):
-        others = doc[(name == name[i]) & (doc != doc[i])]
-        if len(others):
-            want[int(word[i])] = int(others.min())
+    by = defaultdict(set)
+    for name, d, _ in held:
+        by[name].add(d)
+    want = {w: min(by[name] - {d}) for name, d, w in held if by[name] - {d}}
+    got = {int(w): int(o) for v in family.levels for w, o in zip(v.word, v.other, strict=True) if o != suffix_dedup.NOBODY}
     assert got == want
 
 
