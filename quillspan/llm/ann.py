@@ -8,15 +8,23 @@ lookup a book and no cross terms:
 
     |q - x|^2 = |q|^2 - 2 sum_m <q, c_m> + |x|^2.
 
-Blocks of queries meet all blocks of codes; in each block the best ``RERANK`` by
-lookup are ranked by exact distance. A vector's distance from its approximation is
-kept with its codes: the lookup distance less this error is the least that its true
-distance can be, and whatever isn't beyond the k-th exact distance by it is ranked as
-well. So the best ``NEIGHBOURS`` over all blocks are exact, copies and ties included;
-codes that tell a group apart badly cost time, not neighbours. Every row is a query
-and every block is scored: the work grows with the square of the rows.
+In front stands a coarse partition: k-means on the training sample gives about one cell
+for ``CELL_ROWS`` rows, ``CELLS`` at most, each row is in the cell of the nearest centre, and a
+query goes to the cells with the nearest centres. How many is measured: the fewest
+with which the training sample, searched for ``TRIED`` of its own vectors, has a recall of
+``RECALL`` against brute force; the whole table is denser, so its neighbours are nearer.
+Clustered vectors need few cells; vectors spread evenly need most of them.
 
-The codebooks are trained on at most ``TRAIN`` vectors, chosen by hash.
+Queries and rows of a cell meet in blocks, by an equality join on cell and blocks; a large cell
+is many blocks. In each block the best ``RERANK`` by lookup are ranked by exact
+distance. A vector's distance from its approximation is kept with its codes: the lookup
+distance less this error is the least that its true distance can be, and whatever isn't
+beyond the k-th exact distance by it is ranked as well. So within the cells searched the
+neighbours are exact, copies and ties included; codes that tell a group apart badly cost
+time, not neighbours. A query whose cells have too few rows tries more. Of equal vectors only the ``k + 1`` smallest rows are indexed, as no
+query can have more of them as neighbours, and equal queries are answered once.
+
+Codebooks and cells are trained on at most ``TRAIN`` vectors, chosen by hash.
 
 Defined results: rows whose vector is null, empty, of another dimension than most,
 or has a null or non-finite element are neither queries nor answers; a row isn't
@@ -32,7 +40,7 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from quillspan.llm import shared
@@ -41,6 +49,7 @@ BOOKS, WORDS, BEAM = 16, 256, 4
 TRAIN, SWEEPS, REFINE = 8192, 6, 1
 NEIGHBOURS, RERANK = 10, 256
 BASE_ROWS, QUERY_ROWS = 16_384, 2_048
+CELL_ROWS, CELLS, TRIED, RECALL = 4_096, 1_024, 256, 0.97
 
 
 @dataclass
@@ -150,41 +159,69 @@ def search(quantiser: Quantiser, query: np.ndarray, query_row: np.ndarray, base:
     return r, f, d
 
 
-def _blocks(vectors: DataFrame, rows: int, quantiser: Quantiser | None = None) -> DataFrame:
-    """``ids, vectors, codes, norms, errors`` as bytes, about ``rows`` vectors a row of the table; codes only with a quantiser."""
-    sent = vectors.sparkSession.sparkContext.broadcast(quantiser.books) if quantiser else None
+def _nearest_centres(x: np.ndarray, centres: np.ndarray, n: int) -> np.ndarray:
+    """The ``n`` nearest centres of each vector, nearest first (rows, n)."""
+    far = (centres**2).sum(1) - 2 * x @ centres.T
+    near = np.argpartition(far, n - 1, axis=1)[:, :n] if n < len(centres) else np.tile(np.arange(len(centres)), (len(x), 1))
+    return np.take_along_axis(near, np.take_along_axis(far, near, 1).argsort(axis=1, kind="stable"), 1)
 
-    def run(batches):
-        held, size = [], 0
 
-        def block():
-            ids, x = (np.concatenate(v) for v in zip(*held, strict=True))
-            made = Quantiser(sent.value) if sent else None
-            codes = made.encode(x) if made else np.zeros((0, 0), np.uint8)
-            near = made.decode(codes) if made else x[:0]
-            norms = (near**2).sum(1).astype(np.float32)
-            errors = np.sqrt(((x[: len(near)] - near).astype(np.float64) ** 2).sum(1))
-            return pa.RecordBatch.from_arrays([pa.array([v.tobytes()], pa.binary()) for v in (ids, x, codes, norms, errors)], ["ids", "vectors", "codes", "norms", "errors"])
+def partition(x: np.ndarray, cells: int, k: int = NEIGHBOURS, seed: int = 5) -> tuple[np.ndarray, int]:
+    """Centres of the cells, by k-means on the sample, and how many of them a query has to try."""
+    rng = np.random.default_rng(seed)
+    cells = max(1, min(cells, len(x) // 8))
+    centres = x[rng.choice(len(x), cells, replace=False)].copy()
+    for _ in range(10 if cells > 1 else 0):
+        cell = _nearest_centres(x, centres, 1)[:, 0]
+        count = np.bincount(cell, minlength=cells)
+        total = np.zeros_like(centres)
+        np.add.at(total, cell, x)
+        centres[count > 0] = total[count > 0] / count[count > 0, None]
+        centres[count == 0] = x[rng.choice(len(x), int((count == 0).sum()))]
+    if cells == 1 or len(x) <= k:
+        return centres, cells
+    cell = _nearest_centres(x, centres, 1)[:, 0]
+    tried = rng.choice(len(x), min(TRIED, len(x)), replace=False)
+    far = ((x[tried] ** 2).sum(1)[:, None] + (x**2).sum(1) - 2 * x[tried] @ x.T)
+    far[np.arange(len(tried)), tried] = np.inf
+    true = np.argpartition(far, k - 1, axis=1)[:, :k]
+    order = _nearest_centres(x[tried], centres, cells)
+    place = np.empty_like(order)
+    np.put_along_axis(place, order, np.arange(cells)[None].repeat(len(tried), 0), 1)
+    needed = np.take_along_axis(place, cell[true], 1).ravel()  # how many cells find each true neighbour, less one
+    return centres, int(np.quantile(needed, RECALL, method="higher")) + 1
+
+
+def _block_columns(quantiser: Quantiser | None, x: np.ndarray) -> list[bytes]:
+    if quantiser is None:
+        return []
+    codes = quantiser.encode(x)
+    near = quantiser.decode(codes)
+    return [codes.tobytes(), (near**2).sum(1).astype(np.float32).tobytes(), np.sqrt(((x - near).astype(np.float64) ** 2).sum(1)).tobytes()]
 
-        for batch in batches:
-            if batch.num_rows:
-                held.append((batch.column(0).to_numpy(), batch.column(1).flatten().to_numpy().astype(np.float32).reshape(batch.num_rows, -1)))
-                size += batch.num_rows
-            if size >= rows:
-                yield block()
-                held, size = [], 0
-        if size:
-            yield block()
 
-    return vectors.select("row", "vector").mapInArrow(run, "ids binary, vectors binary, codes binary, norms binary, errors binary")
+def _blocks(rows: DataFrame, count: DataFrame, size: int, part: str, quantiser: Quantiser | None = None) -> DataFrame:
+    """One row for each block of about ``size`` rows of a cell: ``cell, <part>, ids, vectors`` and, with a quantiser, ``codes, norms, errors``, as bytes."""
+    sent = rows.sparkSession.sparkContext.broadcast(quantiser)
+    names = ["ids", "vectors", *(["codes", "norms", "errors"] if quantiser else [])]
 
+    def block(key: tuple[pa.Scalar, ...], group: pa.Table) -> pa.Table:
+        x = group["vector"].combine_chunks().flatten().to_numpy(zero_copy_only=False).astype(np.float32).reshape(len(group), -1)
+        values = [group["row"].to_numpy().tobytes(), x.tobytes(), *_block_columns(sent.value, x)]
+        return pa.table({"cell": pa.array([key[0].as_py()], pa.int32()), part: pa.array([key[1].as_py()], pa.int32())} | {n: pa.array([v], pa.binary()) for n, v in zip(names, values, strict=True)})
 
-def nearest(table: DataFrame, id_column: str = "vec_id", vector_column: str = "embedding", k: int = NEIGHBOURS, rerank: int = RERANK) -> DataFrame:
-    """``vec_id, rank, neighbour_id, distance`` of every row's ``k`` nearest others."""
+    schema = f"cell int, {part} int, " + ", ".join(f"{n} binary" for n in names)
+    cut = rows.join(F.broadcast(count), "cell").withColumn(part, F.pmod(F.xxhash64("row", F.lit(9)), F.ceil(F.col("n") / size)).cast("int"))
+    return cut.select("cell", part, "row", "vector").groupBy("cell", part).applyInArrow(block, schema)
+
+
+def nearest(table: DataFrame, id_column: str = "vec_id", vector_column: str = "embedding", k: int = NEIGHBOURS, rerank: int = RERANK, queries: Column | None = None) -> DataFrame:
+    """``vec_id, rank, neighbour_id, distance`` of the ``k`` nearest others of every row, or of those where ``queries`` holds."""
     spark = table.sparkSession
     kind = dict(table.dtypes)[id_column]
     v = F.col(vector_column)
-    whole = table.select(F.monotonically_increasing_id().alias("row"), F.col(id_column).alias("vec_id"), v.cast("array<float>").alias("vector"))
+    asked = F.lit(True) if queries is None else F.coalesce(queries, F.lit(False))
+    whole = table.select(F.monotonically_increasing_id().alias("row"), F.col(id_column).alias("vec_id"), v.cast("array<float>").alias("vector"), asked.alias("asked"))
     fit = whole.where(F.col("vector").isNotNull() & (F.size("vector") > 0) & ~F.exists("vector", lambda e: e.isNull() | F.isnan(e) | (F.abs(e) == float("inf"))))
     fit = shared.table(fit, "vectors")
     sizes = fit.groupBy(F.size("vector").alias("n")).count().orderBy(F.desc("count"), "n").head()
@@ -194,11 +231,42 @@ def nearest(table: DataFrame, id_column: str = "vec_id", vector_column: str = "e
     fit = fit.where(F.size("vector") == dimension)
     luck = F.pmod(F.xxhash64("row", F.lit(5)), F.lit(1_000_003)) / F.lit(1_000_003)
     sample = fit.where(luck <= min(1.0, 1.2 * TRAIN / count)).orderBy(F.xxhash64("vector"), "row").limit(TRAIN).select("vector").toArrow()["vector"].combine_chunks()
-    quantiser = train(sample.flatten().to_numpy().astype(np.float32).reshape(-1, dimension))
-    parts = lambda n: max(1, min(shared.partitions(spark), -(-count // n)))
-    base = shared.table(_blocks(fit.repartition(parts(BASE_ROWS)), BASE_ROWS, quantiser), "base")
-    queries = shared.table(_blocks(fit.repartition(parts(QUERY_ROWS)), QUERY_ROWS), "queries").select(F.col("ids").alias("query_ids"), F.col("vectors").alias("query_vectors"))
+    sample = sample.flatten().to_numpy().astype(np.float32).reshape(-1, dimension)
+    quantiser = train(sample)
+    centres, probes = partition(sample, min(CELLS, max(1, count // CELL_ROWS)), k)
     sent = spark.sparkContext.broadcast(quantiser.books)
+    sent_centres = spark.sparkContext.broadcast(centres)
+
+    def cells(sizes: np.ndarray | None):
+        """The cell of each vector, or, with the cells' sizes, the cells to try: ``probes`` of them, or more until they have enough rows."""
+
+        def run(batches):
+            for batch in batches:
+                if batch.num_rows:
+                    x = batch.column(1).flatten().to_numpy(zero_copy_only=False).astype(np.float32).reshape(batch.num_rows, -1)
+                    near = _nearest_centres(x, sent_centres.value, 1 if sizes is None else len(sizes)).astype(np.int32)
+                    n = np.ones(len(x), np.int64) if sizes is None else np.clip((np.cumsum(sizes[near], axis=1) <= k).sum(axis=1) + 1, min(probes, len(sizes)), len(sizes))
+                    each = np.repeat(np.arange(batch.num_rows), n)
+                    place = np.arange(len(each)) - np.repeat(np.cumsum(n) - n, n)
+                    yield pa.RecordBatch.from_arrays([pa.array(near[each, place]), batch.column(0).take(pa.array(each)), batch.column(1).take(pa.array(each))], ["cell", "row", "vector"])
+
+        return run
+
+    alike = ["hash", "vector"]
+    hashed = fit.withColumn("hash", F.xxhash64("vector"))
+    # Of equal vectors the smallest rows; they are picked within tasks before anything is shuffled.
+    few = hashed.withColumn("n", F.row_number().over(Window.partitionBy(*alike).orderBy("row"))).where(F.col("n") <= k + 1).select("row", "vector")
+    held = shared.table(few.mapInArrow(cells(None), "cell int, row long, vector array<float>"), "cells")
+    asking = hashed.where("asked").select(*alike, "row", "vec_id")
+    distinct = shared.table(asking.groupBy(*alike).agg(F.min("row").alias("row")), "queries")
+    of_base = held.groupBy("cell").agg(F.count(F.lit(1)).alias("n"))
+    sizes_ = np.zeros(len(centres), np.int64)
+    for r in of_base.collect():
+        sizes_[r["cell"]] = r["n"]
+    sent_out = shared.table(distinct.select("row", "vector").mapInArrow(cells(sizes_), "cell int, row long, vector array<float>"), "probes")
+    of_queries = sent_out.groupBy("cell").agg(F.count(F.lit(1)).alias("n"))  # at most ``CELLS`` rows each
+    base = shared.table(_blocks(held, of_base, BASE_ROWS, "part", quantiser), "base")
+    ask = shared.table(_blocks(sent_out, of_queries, QUERY_ROWS, "turn"), "asked").select("cell", "turn", F.col("ids").alias("query_ids"), F.col("vectors").alias("query_vectors"))
 
     def run(batches):
         q = Quantiser(sent.value)
@@ -206,18 +274,20 @@ def nearest(table: DataFrame, id_column: str = "vec_id", vector_column: str = "e
             for ids, vectors, codes, norms, errors, query_ids, query_vectors in zip(*(c.to_pylist() for c in batch.columns), strict=True):
                 rows = np.frombuffer(query_ids, np.int64)
                 code = np.frombuffer(codes, np.uint8).reshape(-1, len(q.books))
-                n, found, far = search(q, np.frombuffer(query_vectors, np.float32).reshape(-1, dimension), rows, np.frombuffer(vectors, np.float32).reshape(-1, dimension), np.frombuffer(ids, np.int64), code, np.frombuffer(norms, np.float32), np.frombuffer(errors, np.float64), k, rerank)
+                n, found, far = search(q, np.frombuffer(query_vectors, np.float32).reshape(-1, dimension), np.full(len(rows), -1), np.frombuffer(vectors, np.float32).reshape(-1, dimension), np.frombuffer(ids, np.int64), code, np.frombuffer(norms, np.float32), np.frombuffer(errors, np.float64), k + 1, rerank)
                 yield pa.RecordBatch.from_arrays([pa.array(rows[n]), pa.array(found), pa.array(far)], ["row", "other", "far"])
 
-    # A pair of blocks is megabytes of work for seconds: pairs are dealt out, whatever the blocks' files.
-    pairs = base.crossJoin(queries).repartition(max(1, min(8 * shared.partitions(spark), parts(BASE_ROWS) * parts(QUERY_ROWS)))) if count > BASE_ROWS else base.crossJoin(queries)
-    before = spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch")
-    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "2")  # a record is a pair of blocks
-    try:
-        found = shared.table(pairs.mapInArrow(run, "row long, other long, far double"), "found")
-    finally:
-        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", before)
-    best = found.withColumn("rank", F.row_number().over(Window.partitionBy("row").orderBy("far", "other"))).where(F.col("rank") <= k)
-    names = fit.select("row", "vec_id")
-    others = names.select(F.col("row").alias("other"), F.col("vec_id").alias("neighbour_id"))
-    return best.join(names, "row").join(others, "other").select("vec_id", "rank", "neighbour_id", F.sqrt("far").alias("distance"))
+    # Every pair of blocks of a cell has a key of its own, so that a large cell is as many pieces of work as it has pairs.
+    turns = of_queries.select("cell", F.sequence(F.lit(0), F.ceil(F.col("n") / QUERY_ROWS).cast("int") - 1).alias("turns"))
+    parts = of_base.select("cell", F.sequence(F.lit(0), F.ceil(F.col("n") / BASE_ROWS).cast("int") - 1).alias("parts"))
+    left = base.join(F.broadcast(turns), "cell").withColumn("turn", F.explode("turns")).drop("turns")
+    right = ask.join(F.broadcast(parts), "cell").withColumn("part", F.explode("parts")).drop("parts")
+    pairs = left.join(right.hint("merge"), ["cell", "part", "turn"]).select("ids", "vectors", "codes", "norms", "errors", "query_ids", "query_vectors")
+    found = shared.table(pairs.mapInArrow(run, "row long, other long, far double"), "found")
+    best = found.withColumn("n", F.row_number().over(Window.partitionBy("row").orderBy("far", "other"))).where(F.col("n") <= k + 1).select(F.col("row").alias("first"), "other", "far")
+    # Back to all rows that asked: each leaves itself out.
+    members = asking.join(distinct.select(*alike, F.col("row").alias("first")), alike).select("row", "vec_id", "first")
+    mine = members.join(best, "first").where("row <> other")
+    ranked = mine.withColumn("rank", F.row_number().over(Window.partitionBy("row").orderBy("far", "other"))).where(F.col("rank") <= k)
+    others = fit.select(F.col("row").alias("other"), F.col("vec_id").alias("neighbour_id"))
+    return ranked.join(others, "other").select("vec_id", "rank", "neighbour_id", F.sqrt("far").alias("distance"))

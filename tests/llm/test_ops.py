@@ -734,6 +734,40 @@ def test_nearest_in_clusters_is_exact(spark):
     assert [got[i] for i in range(len(x))] == true.tolist()
 
 
+def test_cells_are_few_for_clusters_and_recall_holds(spark, monkeypatch):
+    monkeypatch.setattr(ann, "CELL_ROWS", 100)
+    r = np.random.default_rng(26)
+    x = (r.normal(size=(40, 16))[r.integers(0, 40, 3000)] * 3 + 0.3 * r.normal(size=(3000, 16))).astype(np.float32)
+    x[100:1100] = x[7]  # a third are copies
+    centres, probes = ann.partition(x[::2], 30)
+    assert len(centres) == 30 and probes < 10
+    df = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)], "vec_id long, embedding array<float>").coalesce(1)
+    found = ann.nearest(df, queries=F.col("vec_id") % 20 == 0)
+    got = defaultdict(list)
+    for row in found.orderBy("vec_id", "rank").collect():
+        got[row["vec_id"]].append((row["neighbour_id"], row["distance"]))
+    assert set(got) == set(range(0, 3000, 20)) and all(len(v) == 10 for v in got.values())
+    far = np.sqrt(((x[::20, None].astype(float) - x[None]) ** 2).sum(2))
+    far[np.arange(150), np.arange(0, 3000, 20)] = np.inf
+    right = [sum(d <= np.sort(far[i // 20])[9] + 1e-9 for _, d in got[i]) for i in got]
+    assert np.mean(right) / 10 >= 0.95
+    assert [j for j, _ in got[200]] == [7, *range(100, 109)] and [j for j, _ in got[100]] == [7, *range(101, 110)]
+
+
+@pytest.mark.parametrize("clustered", [False, True])
+def test_recall_on_many_vectors(spark, clustered):
+    r = np.random.default_rng(36)
+    x = r.normal(size=(13_000, 32)) if not clustered else r.normal(size=(60, 32))[r.integers(0, 60, 13_000)] * 2 + 0.5 * r.normal(size=(13_000, 32))
+    x = x.astype(np.float32)
+    df = spark.createDataFrame([(i, v) for i, v in enumerate(x.tolist())], "vec_id long, embedding array<float>")
+    got = defaultdict(set)
+    for row in ann.nearest(df, queries=F.col("vec_id") % 100 == 0).collect():
+        got[row["vec_id"]].add(row["neighbour_id"])
+    far = ((x[::100] ** 2).sum(1)[:, None] + (x**2).sum(1) - 2 * x[::100].astype(float) @ x.T)
+    far[np.arange(130), np.arange(0, 13_000, 100)] = np.inf
+    assert np.mean([len(got[i] & set(np.argsort(far[i // 100])[:10].tolist())) / 10 for i in got]) >= 0.9
+
+
 def test_beam_search_beats_greedy():
     x = np.random.default_rng(8).normal(size=(600, 16)).astype(np.float32)
     q = ann.train(x, books=4, words=16)
