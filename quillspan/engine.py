@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 from collections.abc import Sequence
 from functools import cached_property
 
@@ -14,6 +15,9 @@ from quillspan.plans import filters, limits, runs
 from quillspan.schemas import DELETION, FEEDBACK
 
 
+_UUID = re.compile(r"[0-9a-f]{8}(?:-[0-9a-f]{4}){3}-[0-9a-f]{12}\Z", re.I)
+
+
 class Engine:
     """Queries over an event log, with optional feedback and deletions.
 
@@ -76,22 +80,35 @@ class Engine:
             limits.enforce(df, self.limits)
         return df
 
+    def execute(self, df: DataFrame, name: str = "query", source: str = "scan") -> tuple[list, limits.Diagnostics]:
+        """Rows of a result within the limits (files, requests, bytes, rows and wall time), with diagnostics; the engine's counters are kept."""
+        return limits.run(df, name, self.limits, self.counters, source)
+
     def projects(self, limit: int = 100) -> DataFrame:
         return self.events.select("project_name").distinct().orderBy("project_name").limit(max(0, min(limit, 1000)))
 
     def resolve(self, wanted: Sequence[str]) -> list[str]:
-        """Project names from names and ids, in order, once each."""
-        names = [r[0] for r in self.projects(1000).collect()]
-        by_id = {scalars.project_id(n): n for n in names}
+        """Project names from names and ids, in order, once each. Ids are looked up among all projects; only those asked for are collected."""
+        ids = [w for w in wanted if _UUID.match(w)]
+        by_id: dict[str, str] = {}
+        if ids:
+            named = self.events.select("project_name").distinct().withColumn("id", scalars.project_id_column(F.col("project_name")))
+            by_id = {r["id"]: r["project_name"] for r in named.where(F.col("id").isin(*ids)).collect()}
         return list(dict.fromkeys(by_id.get(w, w) for w in wanted))
 
     def list_runs(self, query: runs.RunQuery) -> DataFrame:
         source = self.all_heads if query.include_deleted else self.heads
         return self._checked(runs.list_runs(source, query, self.context(), self.tree))
 
+    def list_runs_page(self, query: runs.RunQuery) -> DataFrame:
+        """A page with ``next_cursor``."""
+        source = self.all_heads if query.include_deleted else self.heads
+        return self._checked(runs.list_runs_page(source, query, self.context(), self.tree))
+
     def aggregate_runs(self, query: runs.RunQuery, use_rollups: bool = True) -> tuple[DataFrame, str]:
         source = self.all_heads if query.include_deleted else self.heads
-        return runs.aggregate_runs(source, query, self.context(), self.tree, self.rollup if use_rollups else None, self.feedback_rollup if use_rollups else None)
+        rows, kind = runs.aggregate_runs(source, query, self.context(), self.tree, self.rollup if use_rollups else None, self.feedback_rollup if use_rollups else None)
+        return self._checked(rows), kind
 
     def run(self, run_id: str, projection: str = "summary") -> DataFrame:
         """One run: ``summary``, ``full`` (with payload) or ``events`` (its lineage)."""
@@ -117,11 +134,15 @@ class Engine:
     def stats(self) -> DataFrame:
         return aggregates.filter_stats(self.heads)
 
-    def list_threads(self, **page) -> DataFrame:
-        return runs.thread_page(self.threads, **page)
+    def list_threads(self, filter: str | dict | list | None = None, **page) -> DataFrame:
+        """Threads; with a filter those with a trace whose root run meets it."""
+        found = self.threads if filter is None else runs.threads_by_root(self.threads, self.thread_traces, self.heads, filter, self.context())
+        return self._checked(runs.thread_page(found, **page))
 
-    def list_thread_traces(self, project: str, thread_id: str, **page) -> DataFrame:
-        return runs.trace_page(self.thread_traces.where((F.col("project_name") == project) & (F.col("thread_id") == thread_id)), **page)
+    def list_thread_traces(self, project: str, thread_id: str, filter: str | dict | list | None = None, **page) -> DataFrame:
+        found = self.thread_traces.where((F.col("project_name") == project) & (F.col("thread_id") == thread_id))
+        found = found if filter is None else runs.by_root(found, self.heads, filter, self.context())
+        return self._checked(runs.trace_page(found, **page))
 
     def list_messages(self, project: str, thread_id: str, limit: int = 100) -> DataFrame:
         return threads.message_page(self.messages.where((F.col("project_name") == project) & (F.col("thread_id") == thread_id)), limit)

@@ -28,6 +28,10 @@ def project_id(name: str) -> str:
     return str(uuid.uuid5(uuid.NAMESPACE_URL, f"{PREFIX}:project:{name}"))
 
 
+def project_id_column(name: Column) -> Column:
+    return uuid5(F.concat(F.lit(f"{PREFIX}:project:"), name))
+
+
 def run_id_of(project: str, trace: str, span: str) -> str:
     return str(uuid.uuid5(uuid.NAMESPACE_URL, f"{PREFIX}:run:{project}:{trace}:{span}"))
 

@@ -13,6 +13,8 @@ from quillspan.schemas import HOUR
 GROUPS = ("project", "time_bucket", "run_type", "tag", "model", "provider", "error", "feedback_key")
 VALUES = ("prompt_tokens", "completion_tokens", "total_tokens", "prompt_cost", "completion_cost", "total_cost", "evaluator_score")
 RANKED = ("latency_nanos", "first_token_latency_nanos")
+#: Steps of an octave in which ranks are looked up.
+STEPS = 64
 BINS = ("lt_0", "0_to_0_25", "0_25_to_0_5", "0_5_to_0_75", "0_75_to_1", "gt_1")
 
 
@@ -65,15 +67,27 @@ def scored(runs: DataFrame, feedback: DataFrame, keys: Sequence[str] | None = No
 def sorted_percentiles(rows: DataFrame, keys: Sequence[str], columns: Sequence[str], percentiles: Sequence[int] = (50, 95, 99)) -> DataFrame:
     """``keys`` and nearest-rank percentiles of ``columns``, for groups of any size.
 
-    Values are counted before they are sorted, and running counts find the ranks:
-    a group's values are never held together, and the sort spills.
+    Values are counted first. A histogram of ``STEPS`` steps an octave, of a few thousand
+    rows a group at most, tells the step that holds each rank; only the values
+    of these steps are then sorted, so no task sorts a whole group.
     """
     each = F.explode(F.array(*[F.struct(F.lit(c).alias("m"), finite(F.col(c)).alias("v")) for c in columns])).alias("x")
     counted = rows.select(*keys, each).where("x.v IS NOT NULL").groupBy(*keys, F.col("x.m").alias("_m"), F.col("x.v").alias("_v")).agg(F.count(F.lit(1)).alias("_n"))
+    # A step's number grows with the value: octaves cut in STEPS, both signs, zero in between.
+    size = lambda v: F.floor(F.log2(v) * STEPS) + 1100 * STEPS
+    v = F.col("_v")
+    stepped = counted.withColumn("_s", F.when(v > 0, size(v)).when(v < 0, -size(-v)).otherwise(F.lit(0)))
     group = Window.partitionBy(*keys, "_m")
-    ranked = counted.withColumn("_upto", F.sum("_n").over(group.orderBy("_v"))).withColumn("_all", F.sum("_n").over(group))
-    at = {p: F.floor(((F.col("_all") - 1) * p + 99) / 100) for p in percentiles}
-    return ranked.groupBy(*keys).agg(*[F.min(F.when((F.col("_m") == c) & (F.col("_upto") > at[p]), F.col("_v"))).alias(f"{c}_p{p}") for c in columns for p in percentiles])
+    steps = stepped.groupBy(*keys, "_m", "_s").agg(F.sum("_n").alias("_h")).withColumn("_upto", F.sum("_h").over(group.orderBy("_s"))).withColumn("_all", F.sum("_h").over(group))
+    ranks = F.explode(F.array(*[F.struct(F.lit(p).alias("p"), F.floor(((F.col("_all") - 1) * p + 99) / 100).alias("at")) for p in percentiles])).alias("_r")
+    wanted = steps.select(*[F.col(k).alias(f"_k_{k}") for k in keys], F.col("_m").alias("_wm"), F.col("_s").alias("_ws"), F.col("_upto").alias("_wu"), F.col("_h").alias("_wh"), ranks)
+    wanted = wanted.where("_r.at < _wu AND _r.at >= _wu - _wh").select("*", F.col("_r.p").alias("_p"), (F.col("_r.at") - (F.col("_wu") - F.col("_wh"))).alias("_at")).drop("_r", "_wu", "_wh")
+    same = (F.col("_m") == F.col("_wm")) & (F.col("_s") == F.col("_ws"))
+    for k in keys:
+        same = same & F.col(k).eqNullSafe(F.col(f"_k_{k}"))
+    inside = stepped.join(wanted, same)
+    found = inside.withColumn("_upto", F.sum("_n").over(Window.partitionBy(*keys, "_m", "_p").orderBy("_v"))).where(F.col("_upto") > F.col("_at"))
+    return found.groupBy(*keys).agg(*[F.min(F.when((F.col("_m") == c) & (F.col("_p") == p), v)).alias(f"{c}_p{p}") for c in columns for p in percentiles])
 
 
 def aggregate(runs: DataFrame, groups: Sequence[str] = (), bucket: int | None = HOUR, feedback: DataFrame | None = None, feedback_keys: Sequence[str] | None = None) -> DataFrame:
@@ -118,7 +132,8 @@ def aggregate(runs: DataFrame, groups: Sequence[str] = (), bucket: int | None =
         each = scores.groupBy(*[F.col(f"_{k}").alias(k) for k in keys], F.col("feedback_key").alias("_key")).agg(*numeric_stats("feedback_score", (50, 95, 99)), *bin_counts(F.col("feedback_score")))
         packed = each.groupBy(*keys).agg(F.map_from_entries(F.collect_list(F.struct("_key", F.struct(*[c for c in each.columns if c not in (*keys, "_key")])))).alias("feedback"))
         out = out.join(packed, keys, "left") if keys else out.crossJoin(packed)
-    return out.select(*names, *[c for c in out.columns if c not in names])
+    out = out.select(*names, *[c for c in out.columns if c not in names])
+    return out.orderBy(*names) if names else out
 
 
 def filter_stats(heads: DataFrame) -> DataFrame:

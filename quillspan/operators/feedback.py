@@ -27,10 +27,10 @@ def scored(rows: DataFrame) -> DataFrame:
 
 
 def current(log: DataFrame) -> DataFrame:
-    """The last version of each id; it keeps the first version's creation time."""
+    """The last version of each id; it keeps the first version's creation time. Of versions of one time the larger ``row_index``, score and value count."""
     by_id = Window.partitionBy("id")
     out = log.withColumn("created_at_unix_nano", F.min("created_at_unix_nano").over(by_id))
-    last = Window.partitionBy("id").orderBy(F.desc("modified_at_unix_nano"))
+    last = Window.partitionBy("id").orderBy(F.desc("modified_at_unix_nano"), *[F.desc_nulls_last(c) for c in ("row_index", "score", "value", "comment") if c in log.columns])
     return out.withColumn("_n", F.row_number().over(last)).where("_n = 1").drop("_n")
 
 

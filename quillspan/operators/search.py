@@ -12,7 +12,7 @@ import re
 from collections.abc import Sequence
 from dataclasses import dataclass, field
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from quillspan.functions import text
@@ -30,7 +30,8 @@ def leaves(heads: DataFrame) -> DataFrame:
 
 def postings(leaf_rows: DataFrame) -> DataFrame:
     """``…, path, token, positions``: positions count kept tokens along a path, with a gap after each leaf so that phrases don't run on."""
-    kept = text.tokens(F.when(F.octet_length("value") <= text.MAX_VALUE, F.col("value")).otherwise(F.substring("value", 1, text.MAX_VALUE)))
+    # The limit counts bytes; half a character at the cut is no part of a token, as tokens are ASCII.
+    kept = text.tokens(F.when(F.octet_length("value") <= text.MAX_VALUE, F.col("value")).otherwise(F.substring(F.col("value").cast("binary"), 1, text.MAX_VALUE).cast("string")))
     by_leaf = leaf_rows.where(F.col("value").isNotNull()).select(*RUN_KEY, "path", "ordinal", kept.alias("tokens"))
     # A path's leaves of one run come together; the offset of each is the length, with gaps, of those before.
     run = by_leaf.groupBy(*RUN_KEY, "path").agg(F.array_sort(F.collect_list(F.struct("ordinal", "tokens"))).alias("all"))
@@ -121,6 +122,14 @@ def matching_key(leaf_rows: DataFrame, pattern: str, scope: Sequence[str] = ())
     return _keys(leaf_rows.where(out))
 
 
+def read_postings(spark: SparkSession, path: str) -> DataFrame:
+    """Postings as written: conditions on token and path reach the scan and skip row groups. A folder that isn't an index is refused."""
+    posts = spark.read.parquet(path)
+    if missing := {"token", "path", "positions", *RUN_KEY} - set(posts.columns):
+        raise ValueError(f"not a postings index, it lacks {', '.join(sorted(missing))}")
+    return posts
+
+
 def write_postings(posts: DataFrame, path: str, files: int | None = None) -> None:
     """Sorted by token and path, so that a query reads the row groups whose bounds hold its tokens."""
     ranged = posts.repartitionByRange(files, "token", "path") if files else posts.repartitionByRange("token", "path")

@@ -17,14 +17,20 @@ NODE = (
 _COLUMNS = [c.strip().split()[0] for c in NODE.split(",")]
 
 
-def _on_cycle(span: str, parent: dict[str, str | None]) -> bool:
-    seen, now = set(), parent.get(span)
-    while now is not None and now not in seen:
-        if now == span:
-            return True
-        seen.add(now)
-        now = parent.get(now)
-    return False
+def _on_cycles(parent: dict[str, str | None]) -> set[str]:
+    """Spans that are their own ancestors; every span is walked over once."""
+    done: set[str] = set()
+    out: set[str] = set()
+    for span in parent:
+        walk: dict[str, int] = {}
+        now: str | None = span
+        while now is not None and now in parent and now not in done and now not in walk:
+            walk[now] = len(walk)
+            now = parent[now]
+        if now in walk:
+            out.update(list(walk)[walk[now] :])
+        done.update(walk)
+    return out
 
 
 def build(runs: list[tuple[str, str | None, str, int]]) -> list[tuple]:
@@ -33,10 +39,10 @@ def build(runs: list[tuple[str, str | None, str, int]]) -> list[tuple]:
     parent = {r[0]: r[1] for r in runs}
     run_id = {r[0]: r[2] for r in runs}
     children: dict[str | None, list[str]] = {}
-    flags = {}
+    flags, cycles = {}, _on_cycles(parent)
     for span, above, _, _ in runs:
         known = above in parent if above is not None else False
-        cycle = known and _on_cycle(span, parent)
+        cycle = span in cycles
         flags[span] = (above is not None and not known, cycle)
         children.setdefault(above if known and not cycle else None, []).append(span)
     out: dict[str, list] = {}
@@ -97,8 +103,8 @@ def nested(rows: list[dict]) -> list[dict]:
     """Rows of one page as nested nodes with ``children``: runs whose parent isn't there are roots, as are those that a cycle leaves over."""
     made = {r["span_id"]: r | {"children": []} for r in rows}
     parent = {k: v.get("parent_span_id") for k, v in made.items()}
-    roots = []
+    roots, cycles = [], _on_cycles(parent)
     for span, node in made.items():
         above = parent[span]
-        (made[above]["children"] if above in made and not _on_cycle(span, parent) else roots).append(node)
+        (made[above]["children"] if above in made and span not in cycles else roots).append(node)
     return roots

@@ -2,15 +2,16 @@
 
 from __future__ import annotations
 
-import os
 import threading
 import time
 import uuid
+from collections import defaultdict
 from collections.abc import Callable
 from dataclasses import dataclass, field
 from typing import TypeVar
+from urllib.parse import quote
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Row
 
 T = TypeVar("T")
 REQUESTS_A_FILE = 48
@@ -58,27 +59,51 @@ class Counters:
 
 
 def estimate(df: DataFrame) -> Diagnostics:
-    """Files behind a plan and their size, from their listing; nothing is read."""
-    files = df.inputFiles()
+    """Files behind a plan and their size, from their folders' listings on whatever file system; nothing is read."""
+    context = df.sparkSession.sparkContext
+    folders: dict[str, set[str]] = defaultdict(set)
+    for f in df.inputFiles():
+        folder, _, name = f.rpartition("/")
+        folders[folder].add(name)
     size = 0
-    for f in files:
-        path = f.removeprefix("file://")
-        if os.path.exists(path):
-            size += os.path.getsize(path)
-    return Diagnostics(files=len(files), estimated_requests=REQUESTS_A_FILE * len(files), bytes=size)
+    for folder, names in folders.items():
+        at = context._jvm.org.apache.hadoop.fs.Path(context._jvm.java.net.URI(folder))
+        for status in at.getFileSystem(context._jsc.hadoopConfiguration()).listStatus(at):
+            if quote(status.getPath().getName()) in names or status.getPath().getName() in names:
+                size += status.getLen()
+    files = sum(map(len, folders.values()))
+    return Diagnostics(files=files, estimated_requests=REQUESTS_A_FILE * files, bytes=size)
 
 
 def enforce(df: DataFrame, limits: Limits) -> Diagnostics:
+    """Refuse a plan over its limits before it runs; the rows are counted as they come (``run``)."""
     found = estimate(df)
     for what, now, most in (("files", found.files, limits.files), ("requests", found.estimated_requests, limits.requests), ("bytes", found.bytes, limits.bytes)):
         if most is not None and now > most:
             found.rejected = f"{what}: {now} exceeds {most}"
             raise QueryRejected(found.rejected)
-    if limits.runs is not None and df.limit(limits.runs + 1).count() > limits.runs:
-        raise QueryRejected(f"runs: more than {limits.runs}")
     return found
 
 
+def run(df: DataFrame, name: str, limits: Limits | None, counters: Counters, source: str = "scan") -> tuple[list[Row], Diagnostics]:
+    """The rows of a query within its limits, what it took, and a note in the counters. The query runs once."""
+    limits = limits or Limits(None, None, None, None, None)
+    began = time.monotonic()
+    try:
+        found = enforce(df, limits)
+        bounded = df if limits.runs is None else df.limit(limits.runs + 1)
+        rows = timed(bounded, limits.seconds, lambda x: x.collect())
+        if limits.runs is not None and len(rows) > limits.runs:
+            raise QueryRejected(f"runs: more than {limits.runs}")
+    except QueryRejected:
+        counters.rejected += 1
+        raise
+    finally:
+        counters.note(name, time.monotonic() - began)
+    found.rows, found.seconds, found.source = len(rows), time.monotonic() - began, source
+    return rows, found
+
+
 def timed(df: DataFrame, seconds: float | None, act: Callable[[DataFrame], T]) -> T:
     """``act`` on ``df``; its jobs are cancelled by tag when the time is up."""
     context, tag = df.sparkSession.sparkContext, f"query-{uuid.uuid4().hex}"

@@ -3,9 +3,9 @@
 from __future__ import annotations
 
 from collections.abc import Sequence
-from dataclasses import dataclass, field
+from dataclasses import dataclass, field, fields
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from quillspan.operators import aggregates, lifecycle, rollups
@@ -101,6 +101,26 @@ def page(runs: DataFrame, q: RunQuery) -> DataFrame:
     return out if q.limit is None else out.limit(max(0, q.limit))
 
 
+def with_next(rows: DataFrame, order: Sequence[Column], size: int, cursor: Column) -> DataFrame:
+    """The first ``size`` rows in order with ``next_cursor``: that of the last row if a probe row follows, else null. Only a page and one row are gathered."""
+    probe = rows.orderBy(*order).limit(size + 1)
+    whole = Window.partitionBy(F.lit(0))  # a page, never a table
+    numbered = probe.withColumn("_n", F.row_number().over(Window.partitionBy(F.lit(0)).orderBy(*order))).withColumn("_c", cursor)
+    more = numbered.withColumn("next_cursor", F.when(F.count(F.lit(1)).over(whole) > size, F.max(F.when(F.col("_n") == size, F.col("_c"))).over(whole)))
+    return more.where(F.col("_n") <= size).orderBy("_n").drop("_n", "_c")
+
+
+def list_runs_page(heads: DataFrame, q: RunQuery, ctx: filters.Context | None = None, tree: DataFrame | None = None) -> DataFrame:
+    """As ``list_runs``, a page of ``limit`` rows (clamped) with ``next_cursor``, the offset of what follows."""
+    start = F.desc("start_time_unix_nano") if q.descending else F.asc("start_time_unix_nano")
+    at, size = offset_of(q), page_size(q.limit)
+    order = [start, F.asc("span_id"), F.asc("trace_id"), F.asc("project_name")]
+    rows = select_runs(heads, q, ctx, tree)
+    rows = rows.orderBy(*order).offset(at) if at else rows
+    page_ = with_next(rows, order, size, F.lit(str(at + size)))
+    return page_.select(*SUMMARY, (F.col("attributes_json") if q.payload else F.lit("{}")).alias("attributes_json"), "next_cursor")
+
+
 def list_runs(heads: DataFrame, q: RunQuery, ctx: filters.Context | None = None, tree: DataFrame | None = None) -> DataFrame:
     """The page's run summaries; payloads are ``{}`` unless asked for, so that their column isn't read."""
     rows = page(select_runs(heads, q, ctx, tree), q)
@@ -109,7 +129,7 @@ def list_runs(heads: DataFrame, q: RunQuery, ctx: filters.Context | None = None,
 
 def aggregate_runs(heads: DataFrame, q: RunQuery, ctx: filters.Context | None = None, tree: DataFrame | None = None, rollup: DataFrame | None = None, feedback_rollup: DataFrame | None = None) -> tuple[DataFrame, str]:
     """Grouped metrics and where they came from: ``rollup`` if one answers the query exactly, else ``scan``."""
-    kind = rollups.eligible(q.group_by, q.time_bucket, q.run_type, q.error, q.start_min, q.start_max, bool(q.filter or q.trace_filter or q.tree_filter or q.trace_id or q.is_root is not None or q.retention_cutoff is not None), q.include_deleted)
+    kind = rollups.eligible(q.group_by, q.time_bucket, q.run_type, q.error, q.start_min, q.start_max, beyond_rollups(q), q.include_deleted)
     table = feedback_rollup if kind == "feedback" else rollup
     if kind and table is not None:
         return rollups.answer(table, kind, q.projects, q.run_type, q.error, q.start_min, q.start_max), "feedback_rollup" if kind == "feedback" else "rollup"
@@ -118,6 +138,15 @@ def aggregate_runs(heads: DataFrame, q: RunQuery, ctx: filters.Context | None =
     return aggregates.aggregate(runs, q.group_by, q.time_bucket, feedback, q.feedback_keys or None), "scan"
 
 
+#: What a rollup's key holds, and what concerns pages only; any other condition needs a scan.
+_ROLLED = frozenset({"projects", "run_type", "error", "start_min", "start_max", "include_deleted", "group_by", "time_bucket", "descending", "limit", "offset", "cursor", "payload"})
+
+
+def beyond_rollups(q: RunQuery) -> bool:
+    """Whether the query has a condition that rollups can't answer."""
+    return any(getattr(q, f.name) not in (None, (), [], "") for f in fields(q) if f.name not in _ROLLED)
+
+
 def load_runs(heads: DataFrame, ids: Sequence[str]) -> DataFrame:
     """Runs by explicit or generated id, in the order asked."""
     if len(ids) > MAX_DIRECT:
@@ -143,7 +172,7 @@ def trace_page(thread_traces: DataFrame, limit: int | None = None, cursor: str |
         _, start, trace = cursor.split(":", 2)
         s = F.col("start_time_unix_nano")
         out = out.where((s > int(start)) | (s == int(start)) & (F.col("trace_id") > trace))
-    return out.orderBy("start_time_unix_nano", "trace_id").limit(page_size(limit))
+    return with_next(out, [F.asc("start_time_unix_nano"), F.asc("trace_id")], page_size(limit), F.concat(F.lit("trace:"), F.col("start_time_unix_nano").cast("string"), F.lit(":"), "trace_id"))
 
 
 def selected(rows: DataFrame, selects: Sequence[str] = ()) -> DataFrame:
@@ -165,7 +194,18 @@ def thread_page(threads: DataFrame, limit: int | None = None, cursor: str | None
         _, start, thread = cursor.split(":", 2)
         s = F.col("max_start_time_unix_nano")
         out = out.where((s < int(start)) | (s == int(start)) & (F.col("thread_id") > thread))
-    return out.orderBy(F.col("max_start_time_unix_nano").desc_nulls_last(), "thread_id").limit(page_size(limit))
+    return with_next(out, [F.col("max_start_time_unix_nano").desc_nulls_last(), F.asc("thread_id")], page_size(limit), F.concat(F.lit("thread:"), F.col("max_start_time_unix_nano").cast("string"), F.lit(":"), "thread_id"))
+
+
+def by_root(thread_traces: DataFrame, heads: DataFrame, filter: str | dict | list, ctx: filters.Context | None = None) -> DataFrame:
+    """Traces of threads whose root run meets the filter, by one equality join."""
+    roots = filters.apply(heads, filter, ctx or filters.Context()).select("project_name", "trace_id", F.col("span_id").alias("root_span_id"))
+    return thread_traces.join(roots, ["project_name", "trace_id", "root_span_id"], "left_semi")
+
+
+def threads_by_root(threads: DataFrame, thread_traces: DataFrame, heads: DataFrame, filter: str | dict | list, ctx: filters.Context | None = None) -> DataFrame:
+    """Threads with a trace whose root run meets the filter; their summaries are of all their traces."""
+    return threads.join(by_root(thread_traces, heads, filter, ctx).select("project_name", "thread_id"), ["project_name", "thread_id"], "left_semi")
 
 
 def response(rows: DataFrame) -> DataFrame:
@@ -176,10 +216,11 @@ def response(rows: DataFrame) -> DataFrame:
         return F.coalesce(*[F.get_json_object("attributes_json", f"$['{k}']") for k in keys])
 
     end = F.col("end_time_unix_nano")
+    tags = F.coalesce("tags", F.array().cast("array<string>")) if "tags" in rows.columns else F.coalesce(F.from_json(F.get_json_object("attributes_json", "$.tags"), "array<string>"), F.array().cast("array<string>"))
     return rows.select(
         F.coalesce("run_id", "generated_run_id").alias("id"), "project_name", "trace_id", "span_id", "name", "run_type", "status",
         F.coalesce("parent_run_id", F.when(F.col("parent_span_id").isNotNull(), scalars.generated_run_id(F.col("project_name"), F.col("trace_id"), F.col("parent_span_id")))).alias("parent_run_id"),
         scalars.format_rfc3339(F.col("start_time_unix_nano")).alias("start_time"), F.when(end != 0, scalars.format_rfc3339(end)).alias("end_time"),
         scalars.dotted_order(F.col("start_time_unix_nano"), F.col("span_id")).alias("dotted_order"),
-        part("langsmith.inputs", "inputs").alias("inputs"), part("langsmith.outputs", "outputs").alias("outputs"), part("langsmith.extra", "extra").alias("extra"), part("langsmith.events", "events").alias("events"), part("langsmith.error", "error").alias("error"),
+        part("langsmith.inputs", "inputs").alias("inputs"), part("langsmith.outputs", "outputs").alias("outputs"), part("langsmith.extra", "extra").alias("extra"), part("langsmith.events", "events").alias("events"), part("langsmith.error", "error").alias("error"), tags.alias("tags"),
     )

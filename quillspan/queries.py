@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from quillspan import fixtures
@@ -12,6 +12,7 @@ from quillspan.functions import scalars, text
 from quillspan.operators import aggregates, feedback, heads, lifecycle, rollups, search, threads, tree
 from quillspan.plans import filters, runs
 from quillspan.schemas import HOUR
+from quillspan.sources import scratch, store
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -93,6 +94,13 @@ def runs_list_newest(spark: SparkSession, sf_dir: str) -> DataFrame:
     return runs.list_runs(event_heads(spark, sf_dir), q).select(*KEY, "status", F.col("start_time_unix_nano").alias("start_time"))
 
 
+@query(f"WITH {_EH} SELECT project_name, trace_id, span_id, CASE WHEN (SELECT count(*) FROM hd WHERE run_type = 'llm') > 60 THEN '60' END AS next_cursor FROM hd WHERE run_type = 'llm' ORDER BY start, span_id, trace_id, project_name LIMIT 40 OFFSET 20")
+def runs_page_with_cursor(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A page, and where the next one begins: a row more than the page is looked at."""
+    q = runs.RunQuery(_PROJECTS, run_type="llm", limit=40, cursor="20")
+    return runs.list_runs_page(event_heads(spark, sf_dir), q).select(*KEY, "next_cursor")
+
+
 def _filtered(name: str, source, where: str, view: str = "mt"):
     """A filter over all metric heads and the condition that says the same in SQL."""
 
@@ -126,11 +134,15 @@ _docs_filtered("runs_filter_unanchored_neq", 'and(neq(metadata_value, "de"), neq
 _docs_filtered("runs_filter_tags", 'and(has(tags, "lang:fr"), neq(tags, "lang:en"))', "lang = 'fr'")
 _docs_filtered("runs_filter_feedback", 'and(eq(feedback_key, "quality"), gte(feedback_score, 1))', "l.quality >= 1")
 _docs_filtered("runs_filter_feedback_absent", 'neq(feedback_key, "toxic")', "l.toxic IS NULL")
+_docs_filtered("runs_filter_id", 'eq(id, "doc-5")', "doc_id = 5")
+_docs_filtered("runs_filter_id_neq", 'neq(id, "doc-5")', "doc_id <> 5")
+_docs_filtered("runs_filter_has_metadata_key", 'has(metadata_key, "lang")', "lang IS NOT NULL")
 _docs_filtered("runs_filter_id_in", 'in(id, ["doc-1", "doc-5", "doc-99"])', "doc_id IN (1, 5, 99)")
 
 
 # Trees ------------------------------------------------------------------------
 
+_PARENTS = f"""{_TR}, nd AS (SELECT a.*, CASE WHEN b.span_id IS NOT NULL THEN a.parent_span_id END AS parent FROM tr a LEFT JOIN tr b ON a.trace_id = b.trace_id AND a.parent_span_id = b.span_id)"""
 _CLOSURE = f"""{_TR}, nd AS (SELECT a.*, CASE WHEN b.span_id IS NOT NULL THEN a.parent_span_id END AS parent FROM tr a LEFT JOIN tr b ON a.trace_id = b.trace_id AND a.parent_span_id = b.span_id),
   down AS (SELECT trace_id, span_id AS root, span_id, 0 AS depth FROM nd WHERE parent IS NULL UNION ALL SELECT d.trace_id, d.root, n.span_id, d.depth + 1 FROM down d JOIN nd n ON n.trace_id = d.trace_id AND n.parent = d.span_id),
   clo AS (SELECT trace_id, span_id AS anc, span_id, 0 AS up FROM nd UNION ALL SELECT c.trace_id, c.anc, n.span_id, c.up + 1 FROM clo c JOIN nd n ON n.trace_id = c.trace_id AND n.parent = c.span_id)"""
@@ -148,9 +160,29 @@ def tree_nodes(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _tree(spark, sf_dir)[1].select("trace_id", "span_id", "root_span_id", "depth", "descendant_count", "unresolved_parent")
 
 
-@query()
+_PLACES = f"""{_EH}, np AS (SELECT a.*, lpad(CAST(a.start AS VARCHAR), 20, '0') || '.' || a.span_id AS place, CASE WHEN b.span_id IS NOT NULL THEN a.parent_span_id END AS parent FROM hd a LEFT JOIN hd b ON a.project_name = b.project_name AND a.trace_id = b.trace_id AND a.parent_span_id = b.span_id),
+  wk AS (SELECT project_name, trace_id, span_id, span_id AS root, 0 AS depth, [place] AS path FROM np WHERE parent IS NULL UNION ALL SELECT n.project_name, n.trace_id, n.span_id, w.root, w.depth + 1, list_append(w.path, n.place) FROM wk w JOIN np n ON n.project_name = w.project_name AND n.trace_id = w.trace_id AND n.parent = w.span_id),
+  pl AS (SELECT w.*, n.parent, n.parent_span_id IS NOT NULL AND n.parent IS NULL AS orphan, row_number() OVER (PARTITION BY w.project_name, w.trace_id ORDER BY w.path) - 1 AS i, row_number() OVER (PARTITION BY w.project_name, w.trace_id, n.parent ORDER BY n.place) - 1 AS k,
+    (SELECT count(*) FROM wk c WHERE c.project_name = w.project_name AND c.trace_id = w.trace_id AND len(c.path) > len(w.path) AND c.path[1:len(w.path)] = w.path) AS below FROM wk w JOIN np n USING (project_name, trace_id, span_id))"""
+
+
+@query(f"""WITH RECURSIVE {_PLACES} SELECT project_name, trace_id, span_id, parent AS parent_span_id, root AS root_span_id, CAST(depth AS BIGINT) AS depth, k AS sibling_order, 2 * i - depth AS subtree_start, 2 * i - depth + 2 * below + 1 AS subtree_end, below AS descendant_count, orphan AS unresolved_parent, FALSE AS cycle_detected FROM pl""")
 def tree_nested_sets(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return tree.nodes(event_heads(spark, sf_dir))
+    """Pre-order intervals: a node at place i and depth d has entered i nodes and left i - d before it."""
+    return tree.nodes(event_heads(spark, sf_dir)).drop("run_id", "root_run_id")
+
+
+@query(f"WITH RECURSIVE {_PLACES} SELECT project_name, trace_id, parent AS parent_span_id, span_id AS child_span_id, k AS sibling_order, CAST(depth AS BIGINT) AS depth FROM pl WHERE parent IS NOT NULL")
+def tree_edges(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return tree.edges(tree.nodes(event_heads(spark, sf_dir)))
+
+
+@query(f"WITH RECURSIVE {_PLACES} SELECT p.span_id, CAST(p.depth AS BIGINT) AS depth, p.k AS sibling_order, h.run_type, h.status, row_number() OVER (ORDER BY p.path) AS place FROM pl p JOIN hd h USING (project_name, trace_id, span_id) WHERE p.project_name = 'proj-1' AND p.trace_id = 't1'")
+def trace_tree_load(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """One trace in tree order."""
+    h = event_heads(spark, sf_dir)
+    rows = tree.load(h, tree.nodes(h), "proj-1", "t1")
+    return rows.select("span_id", "depth", "sibling_order", "run_type", "status", F.row_number().over(Window.partitionBy(F.lit(0)).orderBy("subtree_start")).cast("long").alias("place"))
 
 
 @query(f"WITH RECURSIVE {_CLOSURE} SELECT trace_id, span_id FROM tr WHERE trace_id IN (SELECT d.trace_id FROM down d JOIN nd n USING (trace_id, span_id) WHERE d.depth = 0 AND n.name = 'order-F')")
@@ -165,7 +197,13 @@ _TREE_SQL = {
     "runs_tree_filter_root": ('root(eq(name, "line-R"))', "SELECT trace_id, span_id FROM nd WHERE trace_id IN (SELECT trace_id FROM down JOIN nd USING (trace_id, span_id) WHERE depth = 0 AND name = 'line-R')"),
     "runs_tree_filter_child": ('child(eq(name, "line-R"))', "SELECT DISTINCT trace_id, parent AS span_id FROM nd WHERE name = 'line-R' AND parent IS NOT NULL"),
     "runs_tree_filter_descendant": ('descendant(eq(name, "line-R"))', f"SELECT DISTINCT c.trace_id, c.anc AS span_id FROM clo c JOIN {_HIT} h USING (trace_id, span_id) WHERE c.up > 0"),
-    "runs_tree_filter_filtered_only": ('filtered_only(eq(name, "line-R"))', f"SELECT trace_id, span_id FROM {_HIT}"),
+    "runs_tree_filter_filtered_only": ('filtered_only(eq(name, "line-R"))', "SELECT trace_id, span_id FROM tr WHERE name = 'line-R'"),
+    "runs_tree_filter_filtered_only_root": ('filtered_only(root(eq(name, "line-R")))', "SELECT trace_id, span_id FROM nd WHERE name = 'line-R' AND parent IS NULL"),
+    "runs_tree_filter_filtered_only_child": ('filtered_only(child(eq(name, "line-R")))', "SELECT trace_id, span_id FROM nd WHERE name = 'line-R' AND parent = span_id"),
+    "runs_tree_filter_filtered_only_descendant": ('filtered_only(descendant(eq(name, "line-R")))', "SELECT trace_id, span_id FROM nd WHERE name = 'line-R' AND parent = span_id"),
+    "runs_tree_filter_most_relevant_root": ('most_relevant(root(eq(name, "order-F")))', "SELECT trace_id, span_id FROM nd WHERE name = 'order-F' AND parent IS NULL"),
+    "runs_tree_filter_most_relevant_child": ('most_relevant(child(eq(name, "line-R")))', "SELECT DISTINCT trace_id, parent AS span_id FROM nd WHERE name = 'line-R' AND parent IS NOT NULL"),
+    "runs_tree_filter_most_relevant_descendant": ('most_relevant(descendant(eq(name, "line-R")))', f"SELECT DISTINCT c.trace_id, c.anc AS span_id FROM clo c JOIN {_HIT} h USING (trace_id, span_id) WHERE c.up > 0"),
     "runs_tree_filter_most_relevant": ('most_relevant(eq(name, "line-R"))', f"SELECT DISTINCT c.trace_id, c.anc AS span_id FROM clo c JOIN {_HIT} h USING (trace_id, span_id)"),
 }
 
@@ -176,7 +214,8 @@ def _tree_filtered(name: str, source: str, sql: str):
         return filters.tree_filter(runs_, nodes, source).select("trace_id", "span_id")
 
     QUERIES[name] = run
-    ORACLE_SQL[name] = f"WITH RECURSIVE {_CLOSURE} {sql}"
+    # Only what the mode needs of the closure.
+    ORACLE_SQL[name] = f"WITH RECURSIVE {_CLOSURE if 'clo ' in sql or 'down ' in sql else _PARENTS if 'nd ' in sql else _TR} {sql}"
 
 
 for _name, (_source, _sql) in _TREE_SQL.items():
@@ -221,10 +260,11 @@ def agg_by_tag(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @query("""WITH f AS (SELECT lang, 'quality' AS feedback_key, quality AS s FROM labels JOIN documents USING (doc_id) UNION ALL SELECT lang, 'toxic', toxic FROM labels JOIN documents USING (doc_id))
-  SELECT 'lang:' || lang AS tag, feedback_key, count(*) AS count, round(avg(s), 6) AS score_avg, count(*) FILTER (s >= 0 AND s < 0.25) AS score_0_to_0_25, count(*) FILTER (s >= 0.75 AND s <= 1) AS score_0_75_to_1 FROM f GROUP BY ALL""")
+  SELECT 'lang:' || lang AS tag, feedback_key, count(*) AS count, round(avg(s), 6) AS score_avg, count(*) FILTER (s < 0) AS score_lt_0, count(*) FILTER (s >= 0 AND s < 0.25) AS score_0_to_0_25, count(*) FILTER (s >= 0.25 AND s < 0.5) AS score_0_25_to_0_5, count(*) FILTER (s >= 0.5 AND s < 0.75) AS score_0_5_to_0_75, count(*) FILTER (s >= 0.75 AND s <= 1) AS score_0_75_to_1, count(*) FILTER (s > 1) AS score_gt_1,
+  CAST(min(s) AS DOUBLE) AS score_min, CAST(max(s) AS DOUBLE) AS score_max FROM f GROUP BY ALL""")
 def agg_feedback_distribution(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = aggregates.aggregate(doc_heads(spark, sf_dir), ("tag", "feedback_key"), feedback=fixtures.feedback_rows(spark, sf_dir))
-    return rows.select("tag", "feedback_key", "count", F.round("feedback_score_avg", 6).alias("score_avg"), "score_0_to_0_25", "score_0_75_to_1")
+    return rows.select("tag", "feedback_key", "count", F.round("feedback_score_avg", 6).alias("score_avg"), *[f"score_{b}" for b in aggregates.BINS], F.col("feedback_score_min").alias("score_min"), F.col("feedback_score_max").alias("score_max"))
 
 
 @query(f"""WITH {_MH}, k AS (SELECT *, unnest([{{'kind': 'project', 'value': ''}}, {{'kind': 'run_type', 'value': run_type}}, {{'kind': 'model', 'value': model_name}}, {{'kind': 'error', 'value': CAST(status = 'error' AS VARCHAR)}}]) AS r FROM hd)
@@ -255,6 +295,28 @@ def filter_stats(spark: SparkSession, sf_dir: str) -> DataFrame:
     return aggregates.filter_stats(metric_heads(spark, sf_dir))
 
 
+@query("""SELECT source AS project_name, 'run_type' AS field, 1 AS distinct_values FROM documents GROUP BY 1 UNION ALL SELECT source, 'tag', count(DISTINCT lang) FROM documents GROUP BY 1 HAVING count(lang) > 0
+  UNION ALL SELECT source, 'metadata_key', 2 FROM documents GROUP BY 1""")
+def filter_stats_of_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return aggregates.filter_stats(doc_heads(spark, sf_dir))
+
+
+@query(f"WITH {_EH} SELECT project_name, CAST(start - start % {HOUR} AS VARCHAR) AS time_bucket_start_unix_nano, count(*) AS count, count(*) FILTER (status = 'error') AS error_count FROM hd WHERE parent_span_id = 's1' GROUP BY ALL")
+def agg_parent_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A condition that the rollup at hand doesn't hold: the scan answers."""
+    h = event_heads(spark, sf_dir)
+    rows, source = runs.aggregate_runs(h, runs.RunQuery(_PROJECTS, parent_span_id="s1", group_by=("project", "time_bucket")), rollup=rollups.runs(h))
+    assert source == "scan"
+    return rows.select("project_name", "time_bucket_start_unix_nano", "count", "error_count")
+
+
+@query(f"WITH {_MH} SELECT run_type, model_name, count(*) AS count, " + ", ".join(f"count({c}) AS {n}_count, round(CAST(sum({c}) AS DOUBLE), 2) AS {n}_sum, round(CAST(avg({c}) AS DOUBLE), 6) AS {n}_avg, CAST(min({c}) AS DOUBLE) AS {n}_min, CAST(max({c}) AS DOUBLE) AS {n}_max" for c, n in (("prompt_tokens", "prompt_tokens"), ("total_cost", "total_cost"), ("latency", "latency_nanos"))) + ", CAST(count(*) FILTER (status = 'error') AS DOUBLE) / count(*) AS error_rate FROM hd GROUP BY run_type, model_name")
+def agg_numeric_stats(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = aggregates.aggregate(metric_heads(spark, sf_dir), ("run_type", "model"))
+    each = [e for n in ("prompt_tokens", "total_cost", "latency_nanos") for e in (f"{n}_count", f"round({n}_sum, 2) AS {n}_sum", f"round({n}_avg, 6) AS {n}_avg", f"{n}_min", f"{n}_max")]
+    return rows.selectExpr("run_type", "model_name", "count", *each, "error_rate")
+
+
 # Threads ------------------------------------------------------------------------
 
 _TT = f"""{_CH}, tt AS (SELECT thread_id, trace_id, min(start) AS start, max(stop) AS stop, max(stop) - min(start) AS latency, arg_min(inp, start) FILTER (inp IS NOT NULL) AS inputs_preview, arg_max(outp, start) FILTER (outp IS NOT NULL) AS outputs_preview FROM ch GROUP BY ALL)"""
@@ -287,10 +349,36 @@ def thread_messages(spark: SparkSession, sf_dir: str) -> DataFrame:
     return threads.messages(_chat(spark, sf_dir)).select("thread_id", "trace_id", "span_id", "role", "preview", "turn_order")
 
 
+@query(f"WITH {_TT} SELECT thread_id, trace_id, CAST(NULL AS VARCHAR) AS next_cursor FROM tt WHERE thread_id = 'thread-7' ORDER BY start, trace_id LIMIT 100")
+def thread_traces_last_page(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = threads.traces(_chat(spark, sf_dir)).where("thread_id = 'thread-7'")
+    return runs.trace_page(rows, limit=100).select("thread_id", "trace_id", "next_cursor")
+
+
+@query(f"WITH {_TT}, t AS (SELECT thread_id, max(start) AS s FROM tt GROUP BY 1), p AS (SELECT * FROM t ORDER BY s DESC, thread_id LIMIT 15) SELECT thread_id, (SELECT 'thread:' || s || ':' || thread_id FROM p ORDER BY s, thread_id DESC LIMIT 1) AS next_cursor FROM p")
+def threads_page_with_cursor(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return runs.thread_page(threads.summaries(threads.traces(_chat(spark, sf_dir))), limit=15).select("thread_id", "next_cursor")
+
+
+@query(f"WITH {_CH}, r AS (SELECT *, row_number() OVER (PARTITION BY thread_id, trace_id ORDER BY start, span_id) AS n FROM ch) SELECT thread_id, trace_id FROM r WHERE n = 1 AND role = 'assistant'")
+def thread_traces_by_root(spark: SparkSession, sf_dir: str) -> DataFrame:
+    h = _chat(spark, sf_dir)
+    return runs.by_root(threads.traces(h), h, 'eq(name, "assistant")').select("thread_id", "trace_id")
+
+
+@query(f"WITH {_CH}, r AS (SELECT *, row_number() OVER (PARTITION BY thread_id, trace_id ORDER BY start, span_id) AS n FROM ch) SELECT DISTINCT thread_id FROM r WHERE n = 1 AND role = 'user' AND start >= 36000000000000")
+def threads_by_root(spark: SparkSession, sf_dir: str) -> DataFrame:
+    h = _chat(spark, sf_dir)
+    traces = threads.traces(h)
+    return runs.threads_by_root(threads.summaries(traces), traces, h, 'and(eq(name, "user"), gte(start_time, 36000000000000))').select("thread_id")
+
+
 # Search ---------------------------------------------------------------------------
 
 _STOP = ", ".join(f"'{w}'" for w in text.STOP_WORDS)
-_TOKENS = f"dt AS (SELECT doc_id, source, list_filter(list_transform(regexp_extract_all(left(text, 4096), '[A-Za-z0-9]+'), lambda t: lower(left(t, 64))), lambda t: length(t) >= 2 AND t NOT IN ({_STOP})) AS tokens FROM documents WHERE text IS NOT NULL)"
+#: The first 4,096 bytes of a text, without half a character at the end.
+_CUT = "CASE WHEN strlen(text) <= 4096 THEN text WHEN hex(encode(text))[8193] IN ('8', '9', 'A', 'B') THEN decode(unhex(regexp_replace(hex(encode(text))[1:8192], '^((?:..)*)[C-F].(?:[89AB].)*$', '\\1'))) ELSE decode(unhex(hex(encode(text))[1:8192])) END"
+_TOKENS = f"dt AS (SELECT doc_id, source, list_filter(list_transform(regexp_extract_all({_CUT}, '[A-Za-z0-9]+'), lambda t: lower(left(t, 64))), lambda t: length(t) >= 2 AND t NOT IN ({_STOP})) AS tokens FROM documents WHERE text IS NOT NULL)"
 
 
 def _search(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, filters.Context]:
@@ -317,6 +405,19 @@ _searched("json_key", 'json_key("metadata.lan*")', f"{_SEL} FROM documents WHERE
 _searched("json_key_search", 'json_key_search("metadata.source", "src3")', f"{_SEL} FROM documents WHERE source = 'src3'")
 
 
+_searched("runs_filter_scalar_and_search", 'and(eq(metadata_value, "en"), search(inputs, "idiot"))', f"WITH {_TOKENS} SELECT source AS project_name, 'doc-' || doc_id AS run_id FROM documents d WHERE lang = 'en' AND EXISTS (SELECT 1 FROM dt WHERE dt.doc_id = d.doc_id AND list_contains(tokens, 'idiot'))")
+
+
+@query(f"WITH {_TOKENS} {_SEL} FROM dt WHERE list_contains(tokens, 'idiot') AND list_contains(tokens, 'moron')")
+def search_stored_postings(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Postings written in order of token and path, and read back by token."""
+    h = doc_heads(spark, sf_dir)
+    where = scratch.folder(spark, "postings")
+    search.write_postings(search.postings(search.leaves(h)), where)
+    found = search.matching_text(search.read_postings(spark, where), "idiot moron", ["inputs"])
+    return h.join(found, KEY, "left_semi").select("project_name", "run_id")
+
+
 @query(f"WITH {_TOKENS} SELECT t AS token, count(DISTINCT doc_id) AS runs, count(*) AS occurrences FROM (SELECT doc_id, unnest(tokens) AS t FROM dt) GROUP BY 1")
 def search_postings(spark: SparkSession, sf_dir: str) -> DataFrame:
     posts = search.postings(search.leaves(doc_heads(spark, sf_dir))).where(F.col("path") == "inputs.prompt")
@@ -366,12 +467,9 @@ def run_replay(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query(f"WITH {_EH} SELECT project_name, trace_id, span_id, run_type, status, event_time, latency FROM hd")
 def stream_heads_equals_batch(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The event table read as a stream into the log, and heads from the log."""
-    import tempfile
-
     from quillspan.streaming import ingest
 
-    base = spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="quillspan-stream-")
-    root = f"{base.rstrip('/')}/stream-{abs(hash(sf_dir)):x}-{spark.sql('SELECT uuid()').head()[0]}"
+    root = scratch.folder(spark, "stream")
     batch = heads.typed(fixtures.run_events(spark, sf_dir)).withColumn("idempotency_key", F.concat(F.lit("event-"), F.col("row_index")))
     cols = [c for c in ingest.EVENT_COLUMNS]
     batch.select(*cols).write.parquet(f"{root}/in")
@@ -380,10 +478,32 @@ def stream_heads_equals_batch(spark: SparkSession, sf_dir: str) -> DataFrame:
     return heads.latest(spark.read.parquet(f"{root}/log")).selectExpr(*_HEAD)
 
 
-@query(f"WITH {_EV} SELECT count(*) AS events, count(DISTINCT project_name || trace_id || span_id) AS runs, min(start) - ((min(start) % {HOUR}) + {HOUR}) % {HOUR} AS first_bucket FROM ev")
+@query(f"WITH {_EV} SELECT project_name, start - start % {HOUR} AS time_bucket, count(*) AS rows FROM ev GROUP BY ALL")
 def segment_inventory(spark: SparkSession, sf_dir: str) -> DataFrame:
-    e = fixtures.run_events(spark, sf_dir)
-    return e.agg(F.count(F.lit(1)).alias("events"), F.count_distinct(F.concat(*KEY)).alias("runs"), F.min(scalars.bucket(F.col("start_time_unix_nano"))).alias("first_bucket"))
+    """Events written as segments, and the rows of each segment's files."""
+    where = scratch.folder(spark, "segments")
+    store.write_events(heads.typed(fixtures.run_events(spark, sf_dir)), where)
+    return store.segments(spark, where).groupBy("project_name", "time_bucket").agg(F.sum("rows").alias("rows"))
+
+
+@query(f"WITH {_EH} SELECT project_name, trace_id, span_id, run_type, status, event_time, latency FROM hd WHERE project_name = 'proj-2'")
+def segment_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Heads of one project from written segments: other projects' folders aren't read."""
+    where = scratch.folder(spark, "segments")
+    store.write_events(heads.typed(fixtures.run_events(spark, sf_dir)), where)
+    return heads.latest(store.read_events(spark, where).where("project_name = 'proj-2'")).selectExpr(*_HEAD)
+
+
+@query("SELECT event_id AS row_index, 'lang=' || event_type || ',thread_id=t' || (user_id % 10) AS pairs, CASE WHEN event_id % 3 = 0 THEN NULL ELSE event_id % 11 / 10.0 END AS evaluator_score, CASE WHEN event_id % 2 = 0 THEN event_id % 1000 END AS first_token_latency_nanos FROM events")
+def events_extracted_more(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Metadata pairs, evaluator scores and first-token latencies out of payloads."""
+    from quillspan.functions import extract
+
+    body = """concat('{"metadata":{"lang":"', event_type, '","thread_id":"t', user_id % 10, '"},"metrics":{', CASE WHEN event_id % 3 = 0 THEN '' ELSE concat('"evaluator_score":', cast(event_id % 11 / 10.0D AS string), ',') END,
+      CASE WHEN event_id % 2 = 0 THEN concat('"first_token_latency_nanos":', event_id % 1000, ',') ELSE '' END, '"n":1}}') AS attributes_json"""
+    events = fixtures.run_events(spark, sf_dir).select("row_index", "start_time_unix_nano")
+    got = extract.extracted(events.join(fixtures.table(spark, sf_dir, "events").selectExpr("event_id AS row_index", body), "row_index"))
+    return got.select("row_index", F.array_join(F.array_sort(F.transform("metadata", lambda m: F.concat(m["key"], F.lit("="), m["value"]))), ",").alias("pairs"), "evaluator_score", "first_token_latency_nanos")
 
 
 # Sources, extraction, lookups ---------------------------------------------------------
@@ -440,6 +560,10 @@ def run_ids_generated(spark: SparkSession, sf_dir: str) -> DataFrame:
     return event_heads(spark, sf_dir).select("trace_id", "span_id", "generated_run_id")
 
 
+_HASH = "sha1(unhex('6ba7b8119dad11d180b400c04fd430c8') || encode('quillspan:run:' || $.project_name || ':' || $.trace_id || ':' || $.span_id))"
+_ID = f"{_HASH}[1:8] || '-' || {_HASH}[9:12] || '-5' || {_HASH}[14:16] || '-' || (['8','9','a','b'])[CAST('0x' || {_HASH}[17] AS INT) % 4 + 1] || {_HASH}[18:20] || '-' || {_HASH}[21:32]"
+
+
 @query("SELECT DISTINCT source AS project_name FROM documents ORDER BY 1 LIMIT 100")
 def project_list(spark: SparkSession, sf_dir: str) -> DataFrame:
     return doc_heads(spark, sf_dir).select("project_name").distinct().orderBy("project_name").limit(100)
@@ -450,9 +574,9 @@ def runs_by_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return runs.load_runs(doc_heads(spark, sf_dir), ["doc-9", "doc-3", "doc-7"]).select("run_id", "asked")
 
 
-@query(f"WITH {_EH} SELECT h.trace_id, h.span_id, (SELECT count(*) FROM hd c WHERE c.project_name = h.project_name AND c.trace_id = h.trace_id AND c.parent_span_id = h.span_id) AS children FROM hd h")
+@query(f"WITH {_EH} SELECT h.trace_id, h.span_id, coalesce((SELECT string_agg({_ID.replace("$", "c")}, ',' ORDER BY c.start, c.span_id) FROM hd c WHERE c.project_name = h.project_name AND c.trace_id = h.trace_id AND c.parent_span_id = h.span_id), '') AS children FROM hd h")
 def run_children(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return runs.children(event_heads(spark, sf_dir)).select("trace_id", "span_id", F.size("child_run_ids").cast("long").alias("children"))
+    return runs.children(event_heads(spark, sf_dir)).select("trace_id", "span_id", F.array_join("child_run_ids", ",").alias("children"))
 
 
 @query(f"WITH {_EH} SELECT trace_id, span_id, status, lpad(CAST(start AS VARCHAR), 20, '0') || '.' || span_id AS dotted_order, strftime(make_timestamp(start // 1000), '%Y-%m-%dT%H:%M:%S.%f') || lpad(CAST(start % 1000 AS VARCHAR), 3, '0') || 'Z' AS start_time, stop = 0 AS running FROM hd")

@@ -8,13 +8,14 @@ from pyspark.sql import functions as F
 from quillspan.functions import scalars
 from quillspan.schemas import EVENT
 
-SEGMENT_ROWS = 1024
+#: Rows of a file at most; a segment of traces is then of some hundred megabytes.
+SEGMENT_ROWS = 1_000_000
 
 
 def write_events(events: DataFrame, path: str, mode: str = "append", segment_rows: int = SEGMENT_ROWS) -> None:
-    """Rows of a partition are brought together first, so that a task doesn't leave a file in every partition."""
+    """Rows of a partition are brought together first, so that a task doesn't leave a file in every partition; a large hour is cut among tasks by size, small ones share one."""
     hour = scalars.bucket(F.col("start_time_unix_nano"))
-    ready = events.withColumn("time_bucket", hour).repartition("project_name", "time_bucket").sortWithinPartitions("project_name", "time_bucket", "start_time_unix_nano", "span_id")
+    ready = events.withColumn("time_bucket", hour).hint("rebalance", "project_name", "time_bucket").sortWithinPartitions("project_name", "time_bucket", "start_time_unix_nano", "span_id")
     ready.write.mode(mode).option("maxRecordsPerFile", segment_rows).option("partitionOverwriteMode", "dynamic").partitionBy("project_name", "time_bucket").parquet(path)
 
 

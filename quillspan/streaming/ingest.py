@@ -69,9 +69,8 @@ def refreshed(events: DataFrame) -> DataFrame:
 
 
 def _read(spark, path: str) -> DataFrame | None:
-    from pyspark.errors import AnalysisException
-
-    try:
-        return spark.read.parquet(path)
-    except AnalysisException:  # nothing written yet
-        return None
+    at = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    files = at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+    if not files.exists(at) or not any(not f.getPath().getName().startswith(("_", ".")) for f in files.listStatus(at)):
+        return None  # nothing written yet; whatever else is wrong is an error
+    return spark.read.parquet(path)

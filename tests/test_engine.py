@@ -293,6 +293,56 @@ def test_aggregate_and_rollup(spark):
     assert {(x["field"], x["distinct_values"]) for x in e.stats().collect()} == {("run_type", 2), ("model_name", 1)}
 
 
+def test_conditions_that_rollups_do_not_hold_go_to_the_scan(spark):
+    q = lambda **k: runs.RunQuery(["p"], group_by=("project", "time_bucket"), **k)
+    assert not runs.beyond_rollups(q(run_type="llm", error=True, start_min=0, limit=5, cursor="3"))
+    for k in ({"parent_run_id": "r"}, {"parent_span_id": "s"}, {"trace_id": "t"}, {"filter": "eq(name, 1)"}, {"is_root": False}, {"feedback_keys": ("k",)}, {"retention_cutoff": 0}):
+        assert runs.beyond_rollups(q(**k)), k
+
+
+def test_pages_give_cursors(spark):
+    rows = spark.createDataFrame([("p", "th", f"t{i}", i) for i in range(5)], "project_name string, thread_id string, trace_id string, start_time_unix_nano long")
+    seen, cursor = [], None
+    for _ in range(3):
+        got = runs.trace_page(rows, limit=2, cursor=cursor).collect()
+        seen += [r["trace_id"] for r in got]
+        cursor = got[-1]["next_cursor"]
+    assert seen == ["t0", "t1", "t2", "t3", "t4"] and cursor is None
+    assert runs.trace_page(rows, limit=5).where("next_cursor IS NOT NULL").count() == 0
+
+
+def test_run_within_limits_notes_counters(spark):
+    counters = limits.Counters(slow_seconds=0.0)
+    rows, found = limits.run(spark.range(5), "five", limits.Limits(runs=5), counters)
+    assert len(rows) == 5 and found.rows == 5 and found.seconds > 0 and (counters.queries, counters.slow, counters.rejected) == (1, 1, 0)
+    with pytest.raises(limits.QueryRejected, match="runs"):
+        limits.run(spark.range(6), "six", limits.Limits(runs=5), counters)
+    assert (counters.queries, counters.rejected) == (2, 1)
+
+
+def test_cycles_in_long_chains_take_linear_time():
+    import time
+
+    chain = {f"s{i}": f"s{i + 1}" for i in range(200_000)} | {"s200000": None}
+    began = time.monotonic()
+    assert tree._on_cycles(chain) == set()
+    assert tree._on_cycles({**chain, "s200000": "s199998"}) == {"s199998", "s199999", "s200000"}
+    assert time.monotonic() - began < 10
+    assert tree._on_cycles({"a": "a", "b": "a", "c": "x", "d": "e", "e": "d"}) == {"a", "d", "e"}
+
+
+def test_percentiles_of_large_groups_match_sorting(spark):
+    import random
+
+    rnd = random.Random(3)
+    data = [(rnd.choice(["a", "b", None]), rnd.choice([0.0, -1.5, rnd.lognormvariate(0, 30), -rnd.lognormvariate(3, 2), float(rnd.randrange(5))])) for _ in range(3000)] + [("c", 7.0)]
+    got = {r["k"]: r for r in aggregates.sorted_percentiles(spark.createDataFrame(data, "k string, x double"), ["k"], ["x"]).collect()}
+    for k in ("a", "b", None, "c"):
+        v = sorted(x for g, x in data if g == k)
+        for p in (50, 95, 99):
+            assert got[k][f"x_p{p}"] == v[((len(v) - 1) * p + 99) // 100], (k, p)
+
+
 def test_rollup_eligibility():
     ok = ("project", "time_bucket", "run_type")
     assert rollups.eligible(ok, HOUR, run_type="llm") == "run_type"
