@@ -435,12 +435,19 @@ def variants(word: str) -> tuple[str, ...]:
     return (word,) if word.isascii() else (word, "".join(map(_plain, word)))
 
 
+@lru_cache(1 << 18)
+def tried_parts(word: str) -> tuple[str, ...]:
+    """The distinct parts of a word and of its variant without accents."""
+    return tuple(dict.fromkeys(q for v in variants(word) for q in parts(v)))
+
+
 class Classifier:
     """Word parts with weights, the prior's log-odds, the toxic rate of all parts together and the threshold."""
 
     def __init__(self, weights: dict[str, float], prior: float, expected: float, threshold: float = 0.0):
         self.weights, self.prior, self.expected, self.threshold = weights, prior, expected, threshold
         self.hidden = {squeezed(variants(p)[-1]): p for p in sorted(weights)}
+        self.known: dict[str, str | None] = {}
         self.starts = np.zeros(SYMBOLS**3, bool)
         for p in weights:
             a, b, c = (symbol(x) for x in variants(p)[-1][:3])
@@ -448,9 +455,14 @@ class Classifier:
 
     def part(self, word: str, restored: bool = False) -> str | None:
         """The heaviest part of a word; a restored word may differ from it in accents and repetitions, which the channel hides."""
-        found = [p for v in variants(word) for p in parts(v) if p in self.weights]
-        if not found and restored:
-            found = [self.hidden[p] for p in parts(squeezed(word)) if p in self.hidden]
+        if word not in self.known:
+            if len(self.known) >= 1 << 18:
+                self.known.clear()
+            self.known[word] = self._heaviest([p for p in tried_parts(word) if p in self.weights])
+        found = self.known[word]
+        return found if found or not restored else self._heaviest([self.hidden[p] for p in parts(squeezed(word)) if p in self.hidden])
+
+    def _heaviest(self, found: list[str]) -> str | None:
         return max(found, key=lambda p: (self.weights[p], p)) if found else None
 
     def candidates(self, chars: Characters) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -521,7 +533,7 @@ class Tally:
             held[family].update(found)
         words, holders = Counter(), Counter()
         for found in held.values():
-            each = Counter(p for w in found for p in {q for v in variants(w) for q in parts(v)} if wanted is None or p in wanted)
+            each = Counter(p for w in found for p in tried_parts(w) if wanted is None or p in wanted)
             words.update(each)
             holders.update(each.keys())
         return cls(len(held), sum(map(len, held.values())), words, holders)
