@@ -48,6 +48,7 @@ from collections import Counter, defaultdict
 from collections.abc import Iterable
 from dataclasses import dataclass
 from functools import lru_cache
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -435,7 +436,7 @@ def variants(word: str) -> tuple[str, ...]:
     return (word,) if word.isascii() else (word, "".join(map(_plain, word)))
 
 
-@lru_cache(1 << 18)
+@lru_cache(1 << 16)
 def tried_parts(word: str) -> tuple[str, ...]:
     """The distinct parts of a word and of its variant without accents."""
     return tuple(dict.fromkeys(q for v in variants(word) for q in parts(v)))
@@ -482,7 +483,8 @@ class Classifier:
 
     def evidence(self, plain: Iterable[str], restored: Iterable[str]) -> dict[str, str]:
         """Words of a text with a part that weighs."""
-        out = {w: p for w in plain if (p := self.part(w))}
+        known = self.known
+        out = {w: p for w in plain if (p := known[w] if w in known else self.part(w))}
         return out | {w: p for w in restored if w not in out and (p := self.part(w, True))}
 
     def logit(self, found: dict[str, str], words: int) -> float:
@@ -519,7 +521,7 @@ def sketch(text: bytes, hashes: int = 8) -> list[int]:
 
 @dataclass
 class Tally:
-    """Labelled documents of one label: families, their distinct words, and of each part the words and the families that have it."""
+    """Labelled documents of one label: families, their distinct words, and of each part the words and (without ``wanted`` parts only) the families that have it."""
 
     families: int
     total: int
@@ -531,11 +533,15 @@ class Tally:
         held: dict[int, set[str]] = defaultdict(set)
         for _, family, found in rows:
             held[family].update(found)
-        words, holders = Counter(), Counter()
+        words, holders, forms = Counter(), Counter(), Counter()
         for found in held.values():
-            each = Counter(p for w in found for p in tried_parts(w) if wanted is None or p in wanted)
-            words.update(each)
-            holders.update(each.keys())
+            forms.update(found)
+            if wanted is None:
+                holders.update(set(chain.from_iterable(map(tried_parts, found))))
+        for form, n in forms.items():
+            for p in tried_parts(form):
+                if wanted is None or p in wanted:
+                    words[p] += n
         return cls(len(held), sum(map(len, held.values())), words, holders)
 
     def __add__(self, other: Tally) -> Tally:
@@ -611,7 +617,8 @@ def learn(docs: DataFrame, labels: DataFrame, costs: np.ndarray) -> Classifier |
                 yield pa.RecordBatch.from_arrays([batch.column(0).slice(lo, hi - lo), pa.array(sketches, pa.list_(pa.int64())), pa.array(words, pa.list_(pa.string()))], ["label", "sketch", "words"])
 
     got = sample.where(F.col("text").isNotNull()).mapInArrow(run, "label string, sketch array<long>, words array<string>").toLocalIterator()
-    return fit(sorted((r["label"], list(r["sketch"]), list(r["words"])) for r in got))
+    same: dict[str, str] = {}  # one copy of each word
+    return fit(sorted((r["label"], list(r["sketch"]), [same.setdefault(w, w) for w in r["words"]]) for r in got))
 
 
 def toxicity(docs: DataFrame, labels: DataFrame) -> DataFrame:
