@@ -211,8 +211,10 @@ def read_archives(archives: DataFrame) -> DataFrame:
 
 
 def train_dictionary(pages: DataFrame) -> bytes:
-    """From a bounded sample of pages (the constants above), the first by hash; empty if there are too few. It only makes archives smaller."""
-    rows = pages.where(F.col("html").isNotNull()).select(F.substring("html", 1, DICTIONARY_PAGE_BYTES), F.xxhash64("html").alias("h")).orderBy("h").limit(DICTIONARY_PAGES).collect()
+    """From a bounded sample of distinct pages (the constants above), the first by hash; empty if there are too few. It only makes archives smaller."""
+    hashed = pages.where(F.col("html").isNotNull()).select(F.substring("html", 1, DICTIONARY_PAGE_BYTES).alias("start"), F.xxhash64("html").alias("h"))
+    edge = hashed.select("h").distinct().orderBy("h").limit(DICTIONARY_PAGES).agg(F.max("h")).head()[0]
+    rows = hashed.where(F.col("h") <= edge).groupBy("h").agg(F.first("start").alias("start")).orderBy("h").select("start").collect() if edge is not None else []
     sample = [r[0].encode() for r in rows if r[0]]
     try:
         return zstandard.train_dictionary(DICTIONARY_BYTES, sample).as_bytes()
