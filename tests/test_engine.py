@@ -416,6 +416,17 @@ def test_tokens_leaves_and_wildcards(spark):
     assert not text.wildcard("abab", "a*b") and text.wildcard("axb", "a*b")
 
 
+def test_payloads_reach_python_in_small_batches(spark):
+    """An Arrow batch holds 10,000 payloads; a pickled one 100, so Python's memory doesn't grow with a partition."""
+    payload = json.dumps({"inputs": {"prompt": "x" * 3000}, "n": [1, 2.5, None, {}, "\ud800"]})
+    df = spark.range(300).select(F.when(F.col("id") % 3 == 0, None).when(F.col("id") % 3 == 1, "{").otherwise(payload).alias("attributes_json"))
+    found = df.select(text.leaves("attributes_json").alias("l"))
+    plan = found._jdf.queryExecution().executedPlan().toString()
+    assert "BatchEvalPython" in plan and "ArrowEvalPython" not in plan
+    assert found.groupBy(F.size("l").alias("n")).count().sort("n").collect() == [(0, 200), (6, 100)]
+    assert [r["value"] for r in found.where("size(l) > 0").head()["l"]][1:5] == ["1", "2.5", None, None]
+
+
 def test_index_is_required(library):
     with pytest.raises(filters.FilterError, match="search index"):
         filters.apply(library.heads, 'search("a")')
