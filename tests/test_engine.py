@@ -1,8 +1,10 @@
 """Operators on literal inputs."""
 
 import json
+import random
 import uuid
 
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -230,6 +232,55 @@ def test_tree_filters(spark):
         filters.trace_filter(e.heads, 'search("x")')
 
 
+def test_forests_of_batches_equal_those_built_run_by_run():
+    """Random traces with orphans, cycles, runs that hang on cycles and nulls, cut into batches anywhere."""
+    rng = random.Random(7)
+    for _ in range(100):
+        rows = []
+        for t in range(rng.randint(1, 6)):
+            n = rng.randint(1, 12)
+            rows += [(None if t == 5 else f"p{t // 2}", f"t{t}", f"s{i}", rng.choice([None, *[f"s{rng.randint(0, n + 1)}" for _ in range(3)]]), f"r{t}-{i}", rng.randint(0, 4), rng.random() < 0.3) for i in range(n)]
+        rows.sort(key=lambda r: (r[0] or "", r[1], r[5], r[2]))
+        batch = pa.table(dict(zip("abcdefg", zip(*rows)))).cast(pa.schema([(c, pa.string()) for c in "abcde"] + [("f", pa.int64()), ("g", pa.bool_())])).combine_chunks().to_batches()[0]
+        cuts = sorted({0, len(rows), *[rng.randint(0, len(rows)) for _ in range(4)]})
+        want = {(*t, n[0]): n for t in {r[:2] for r in rows} for n in tree.build([(r[2], r[3], r[4], r[5]) for r in rows if r[:2] == t])}
+        seen = 0
+        for whole in tree._whole(batch.slice(a, b - a) for a, b in zip(cuts, cuts[1:])):
+            f, cells = tree.Forest(whole), whole.to_pylist()
+            below = f.descendants()
+            sibling, place = f.places(below)
+            hit = whole.column(6).to_numpy(zero_copy_only=False)
+            got = {name: test(f, hit) for name, test in tree.RELATIONS.items()}
+            nodes = [want[c["a"], c["b"], c["c"]] for c in cells]
+            seen += len(cells)
+            for i, (c, n) in enumerate(zip(cells, nodes)):
+                start = 2 * place[i] - f.depth[i]
+                assert (c["d"] if f.up[i] >= 0 else None, cells[f.root[i]]["c"], f.depth[i], sibling[i], start, start + 2 * below[i] + 1, below[i], f.given[i] and not f.known[i], f.cycle[i]) == (n[2], n[3], *n[5:])
+                mine = [(m, x["g"]) for m, x in zip(nodes, cells) if (x["a"], x["b"]) == (c["a"], c["b"])]
+                child, under, root = any(h and m[2] == n[0] for m, h in mine), any(h and n[7] < m[7] < n[8] for m, h in mine), any(h and m[5] == 0 for m, h in mine)
+                assert [bool(got[k][i]) for k in ("root", "child", "descendant", "own_root", "own_child", "self_or_descendant")] == [root, child, under, c["g"] and n[5] == 0, False, c["g"] or under]
+        assert seen == len(rows)
+
+
+@pytest.mark.parametrize("condition", ['eq(name, "L")', 'or(eq(is_root, true), eq(root_span_id, "x"))'])
+def test_keys_without_a_stored_tree_equal_tree_filters(spark, condition):
+    tree_of = [event("root", 10, name="R"), event("mid", 20, parent="root", name="M"), event("leaf", 30, parent="mid", name="L"), event("lone", 5, parent="gone", name="L"), event("x", 1, parent="y", trace=B, name="L"), event("y", 2, parent="x", trace=B, name="M"), event("z", 3, parent="x", trace=B, name="L"), event("self", 4, parent="self", trace=B, name="L")]
+    e = engine(spark, *tree_of)
+    plain = heads.latest(e.events).cache()
+    stored, nodes = e.heads.cache(), e.tree.cache()
+    for form in ("{}", "root({})", "descendant({})", "filtered_only(root({}))", "filtered_only(child({}))", "most_relevant({})"):
+        source = form.format(condition)
+        assert spans(filters.tree_keys(plain, source)) == spans(filters.tree_filter(stored, nodes, source)), source
+    assert spans(filters.trace_keys(plain, condition)) == spans(filters.trace_filter(stored, condition))
+
+
+def test_a_wide_trace_is_not_paired_with_itself(spark):
+    """100,000 runs, each a hit below one of 300: pairs of all runs would be 10 billion."""
+    rows = spark.range(100_000).selectExpr("'p' AS project_name", "'t' AS trace_id", "concat('s', id) AS span_id", "CASE WHEN id > 0 THEN concat('s', id % least(id, 300)) END AS parent_span_id", "true AS hit")
+    assert tree.related(rows, "child").count() == 300
+    assert tree.related(rows, "self_or_descendant").count() == 100_000
+
+
 # Pages
 
 

@@ -47,6 +47,12 @@ def test_query_runs(spark, name):
     assert queries.QUERIES[name](spark, DATA).count() > 0
 
 
+@pytest.mark.parametrize("name", sorted(n for n in queries.QUERIES if n.startswith("runs_tree_filter") or n == "runs_trace_filter"))
+def test_tree_filters_link_the_runs_once_and_join_nothing(spark, name):
+    plan = queries.QUERIES[name](spark, DATA)._jdf.queryExecution().optimizedPlan().toString()
+    assert "Join" not in plan and plan.count("MapIn") <= 1
+
+
 def test_entry_module_names_every_query():
     import __spark_entry__ as entry
 
