@@ -281,6 +281,15 @@ def test_a_wide_trace_is_not_paired_with_itself(spark):
     assert tree.related(rows, "self_or_descendant").count() == 100_000
 
 
+def test_only_traces_where_a_hit_can_count_are_linked(spark, monkeypatch):
+    """30 traces of three runs have a hit, ten of them the root alone; ten traces have none. A relation that returns all shows what reaches Python."""
+    rows = spark.range(120).selectExpr("'p' AS project_name", "concat('t', id div 3) AS trace_id", "concat('s', id % 3) AS span_id", "CASE WHEN id % 3 > 0 THEN 's0' END AS parent_span_id", "id % 3 = id div 30 AS hit")
+    assert {r: tree.related(rows, r).count() for r in tree.RELATIONS} == {"root": 30, "child": 20, "descendant": 20, "own_root": 10, "own_child": 0, "self_or_descendant": 50}
+    for relation in tree.RELATIONS:
+        monkeypatch.setitem(tree.RELATIONS, relation, lambda f, hit: hit | ~hit)
+    assert {r: tree.related(rows, r).count() for r in tree.RELATIONS} == {"root": 90, "child": 60, "descendant": 60, "own_root": 90, "own_child": 0, "self_or_descendant": 90}
+
+
 # Pages
 
 

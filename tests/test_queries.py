@@ -6,7 +6,7 @@ import os
 import duckdb
 import pytest
 
-from quillspan import queries
+from quillspan import fixtures, queries
 
 DATA = os.environ.get("TEST_SF_DIR", "/root/testdata/sf0.001")
 TABLES = "region nation customer supplier part orders lineitem events documents embeddings pages benchmark labels conversations".split()
@@ -53,6 +53,29 @@ def test_tree_filters_link_the_runs_once_and_join_nothing(spark, name):
     assert "Join" not in plan and plan.count("MapIn") <= 1
 
 
+@pytest.mark.parametrize("name", ["runs_tree_filter_filtered_only_child"])
+def test_tree_filters_shuffle_once_and_link_no_trace_in_vain(spark, name):
+    """From the tables to the keys: one shuffle by trace; the second window leaves out traces where no hit can count."""
+    plan = queries.QUERIES[name](spark, DATA)._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("Exchange hashpartitioning") == 1 and plan.count("Window [") == 2
+    assert plan.index("MapInArrow") < plan.index("Filter (isnotnull(_linked") < plan.index("Exchange hashpartitioning")
+
+
+def test_tree_events_are_all_orders_and_grouped_lines(spark, tmp_path):
+    """Orders aren't grouped; null keys, flags and days stay apart from other rows."""
+    day = lambda d: f"timestamp_ntz'1970-01-0{d + 1}'"
+    orders = [(1, "'F'", day(1)), (1, "'O'", day(2)), (2, "null", "null"), ("null", "'P'", day(1))]
+    lines = [(1, 1, "'R'", day(3)), (1, 1, "'A'", day(4)), (1, 2, "null", "null"), (1, 0, "'N'", day(1)), (2, "null", "'R'", day(1)), ("null", 3, "'R'", day(1))]
+    for table, columns, rows_ in (("orders", "o_orderkey, o_orderstatus, o_orderdate", orders), ("lineitem", "l_orderkey, l_linenumber, l_returnflag, l_shipdate", lines)):
+        values = ", ".join(f"({', '.join(map(str, r))})" for r in rows_)
+        spark.sql(f"SELECT * FROM VALUES {values} AS t({columns})").write.parquet(f"{tmp_path}/{table}.parquet")
+    got = fixtures.tree_events(spark, str(tmp_path)).selectExpr("trace_id", "span_id", "parent_span_id", "name", "start_time_unix_nano div 86400000000000", "run_type", "project_name").collect()
+    assert sorted((tuple(r)[:5] for r in got), key=repr) == sorted(
+        [("o1", "l0", None, "order-F", 1), ("o1", "l0", None, "order-O", 2), ("o2", "l0", None, None, None), (None, "l0", None, "order-P", 1),
+         ("o1", "l1", "l0", "line-A", 3), ("o1", "l2", "l0", None, None), ("o1", "l0", "l0", "line-N", 1), ("o2", None, None, "line-R", 1), (None, "l3", "l1", "line-R", 1)], key=repr)
+    assert {(r["run_type"], str(r["name"])[:4]) for r in got} == {("chain", "orde"), ("chain", "None"), ("tool", "line"), ("tool", "None")} and {r["project_name"] for r in got} == {"orders"}
+
+
 def test_entry_module_names_every_query():
     import __spark_entry__ as entry
 
