@@ -53,7 +53,7 @@ def test_tree_filters_link_the_runs_once_and_join_nothing(spark, name):
     assert "Join" not in plan and plan.count("MapIn") <= 1
 
 
-@pytest.mark.parametrize("name", ["runs_tree_filter_filtered_only_child", "runs_tree_filter_child", "runs_tree_filter_most_relevant_root", "runs_tree_filter_most_relevant", "runs_tree_filter_most_relevant_child"])
+@pytest.mark.parametrize("name", ["runs_tree_filter_filtered_only_child", "runs_tree_filter_child", "runs_tree_filter_most_relevant_root", "runs_tree_filter_most_relevant", "runs_tree_filter_most_relevant_child", "runs_tree_filter_most_relevant_descendant"])
 def test_tree_filters_shuffle_once_and_link_no_trace_in_vain(spark, name):
     """From the tables to the keys: one shuffle by trace; the second window leaves out traces where no hit can count."""
     plan = queries.QUERIES[name](spark, DATA)._jdf.queryExecution().executedPlan().toString()
